@@ -1,0 +1,74 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from threadmill.llm import op5_pii as op
+
+
+def luhn(d):
+    return sum((x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def run(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in op.protect(df).orderBy("doc_id").collect()]
+
+
+VALUES = {
+    "4111 1111 1111 1111": r"\d{4} \d{4} \d{4} \d{4}", "4785380592391139": r"\d{16}", "+1 (499) 555-6503": r"\+1 \(\d{3}\) \d{3}-\d{4}", "233.233.171.252": r"\d+\.\d+\.\d+\.\d+",
+    "2021-02-28": r"\d{4}-\d\d-\d\d", "28.02.2021": r"\d\d\.\d\d\.\d{4}", "02/28/2021": r"\d\d/\d\d/\d{4}", "123-45-6789": r"\d{3}-\d\d-\d{4}", "that.92@mail2.example.com": r"u[0-9a-f]{16}@mail2\.example\.com",
+    'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"': r'token = "[0-9a-f]{40}"',
+}
+
+
+def test_formats_and_links(spark):
+    texts = [f"{a}{v}{b}" for v in VALUES for a, b in (("see ", " there"), ("", ""), ("x,", "!!"), ("###", "$$$"))]
+    got = run(spark, texts)
+    for k, (v, shape) in enumerate(VALUES.items()):
+        own = got[4 * k:4 * k + 4]
+        m = re.fullmatch(f"see ({shape}) there", own[0])
+        assert m, (v, own[0])
+        assert m[1] != v and own[1] == m[1] and own[2] == f"x,{m[1]}!!" and own[3] == f"###{m[1]}$$$"
+    assert luhn(re.sub(r"\D", "", got[0]))
+    assert all(int(x) < 256 for x in re.findall(r"\d+", got[4 * list(VALUES).index("233.233.171.252") + 1]))
+
+
+def test_left_alone(spark):
+    texts = ["version 2.0.", "300.1.2.999", "2021-02-30 and 31.02.2021", "pages 12-14, 1999", "a@b", "1.2.3.4.5", "", None, "no digits", "000-12-3456"]
+    assert run(spark, texts) == texts
+
+
+def test_same_pseudonym_in_any_layout(spark):
+    a, b, c, d = run(spark, ["4111111111111111", "4111-1111-1111-1111", "2021-02-28", "28.02.2021"])
+    assert a == b.replace("-", "")
+    assert c == "-".join(reversed(d.split(".")))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_permutation(spark, n):
+    df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+    got = [r.x for r in df.select(op.permute_digits(F.col("d"), "k", "t").alias("x")).collect()]
+    assert len(set(got)) == 10**n and {len(x) for x in got} == {n}
+
+
+def test_dates_are_a_permutation(spark):
+    df = spark.range(op.DAYS).select(op._walk(F.col("id"), "k").alias("x"))
+    got = {r.x for r in df.collect()}
+    assert got == set(range(op.DAYS))
+
+
+def test_many_in_a_long_text(spark):
+    text = " ".join(f"w{i} 10.0.{i % 256}.{i // 256}" for i in range(3000)) + " x" * 100_000
+    out = run(spark, [text])[0]
+    assert len(re.findall(r"\d+\.\d+\.\d+\.\d+", out)) == 3000 and "10.0.7.0 " not in out and out.endswith(" x" * 1000)
+    assert len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", out))) == 3000
+
+
+def test_rows(spark):
+    df = spark.createDataFrame([(1, "a 10.1.2.3", 5), (1, "a 10.1.2.3", 5), (None, None, None)], "doc_id long, text string, n_replaced int")
+    got = op.protect(df).collect()
+    assert [r.n_replaced for r in got] == [1, 1, 0] and got[0].text == got[1].text != "a 10.1.2.3"
+    assert op.protect(df.limit(0)).count() == 0

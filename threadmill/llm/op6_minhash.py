@@ -10,14 +10,16 @@ texts that lack one go on to twice that time, so the signature never depends on
 
 BANDS bands of ROWS rows miss a pair at the threshold with probability 3.2e-6. Equal texts are one node. Candidates:
 
-1. each bucket's least node is paired with all others of the bucket; verified links give classes;
-2. in buckets that still hold several classes, the nodes outside the least node's class are paired with all nodes of other
-   classes. Buckets above WIDE nodes are first refined by each further band (a pair at the threshold shares two bands or
-   more with probability 0.99994), so what only shares a common passage falls apart.
+1. in each bucket the node that meets most others over all its buckets (the original of edited copies, as a rule) is paired
+   with all others of the bucket; verified links give classes;
+2. buckets of three or more that still hold several classes are dealt in pairs of blocks of at most BLOCK nodes or so. There
+   each pair of different classes is compared, in the first band that it shares only, by signatures and then by bags;
+   just the links that join classes leave the task.
 
-Groups of copies so need a number of pairs in proportion to their size; no pair within a class is enumerated twice, and no
-candidate is capped or dropped. A pair is a link if the exact multiset overlap is THRESHOLD or more; a class is what
-links connect. Everything stays distributed; steps are cut by checkpoints in the shared folder.
+So no candidate is capped or dropped, no pair within a class is enumerated, a task holds two blocks at most, and what is
+emitted is in proportion to the nodes. A pair whose signatures share less than LEAST_EQUAL of M components isn't verified:
+at the threshold that happens with probability 3e-5. A pair is a link if the exact multiset overlap is THRESHOLD or
+more; a class is what links connect. Everything stays distributed; steps are cut by checkpoints in the shared folder.
 
 Edge cases: a null text is empty; empty texts are copies of each other and near nothing else; null ids stay rows and get the
 least id of their class; equal rows (ids too) stay rows; an empty table gives no rows; further columns are not read.
@@ -38,9 +40,10 @@ NAME = "op6_minhash"
 SHINGLE, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 24, 4
 M = BANDS * ROWS
-WIDE = 64
-#: Components (of M) that signatures of a pair at the threshold share but for seven standard deviations.
-LEAST_EQUAL = 48
+#: Nodes of a block, about.
+BLOCK = 1024
+#: Components (of M) that the signatures of a pair share that is verified.
+LEAST_EQUAL = 60
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _words: dict[str, int] = {}
 
@@ -175,12 +178,14 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def _pack(texts: pd.Series) -> pd.Series:
-    return pd.Series([e.tobytes() + c.astype(np.uint64).tobytes() for e, c in map(bag, texts)], dtype=object)
+    """Bags as bytes: the number of windows, the windows, and their counts unless all are 1."""
+    return pd.Series([np.uint64(len(e)).tobytes() + e.tobytes() + (c.astype(np.uint32).tobytes() if c.max(initial=1) > 1 else b"") for e, c in map(bag, texts)], dtype=object)
 
 
 def _unpack(raw):
-    x = np.frombuffer(raw, np.uint64)
-    return x[:len(x) // 2], x[len(x) // 2:].astype(np.int64)
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    e = np.frombuffer(raw, np.uint64, n, 8)
+    return e, np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64) if len(raw) > 8 + 8 * n else np.ones(n, np.int64)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -220,9 +225,59 @@ def _verified(pairs, nodes, bags):
     return saved(full.where(_linked("ga", "gb")).select("a", "b"))
 
 
-def _shared(rows):
-    """The rows (key, ...) of keys that two nodes or more have."""
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "key")
+def _joining(key, rows):
+    """Links that join different roots among the rows of a pair of blocks of a bucket, as (a, b)."""
+    if len(rows) < 2:
+        return
+    sig = np.frombuffer(b"".join(r.sig for r in rows), np.uint8).reshape(-1, M)
+    bands = np.array([r.bands for r in rows])
+    this = int(np.nonzero(bands[0] == key)[0][0])
+    mine, cross = np.array([r.mine for r in rows]), len({r.mine for r in rows}) > 1
+    names: dict = {}
+    parent = list(range(len(rows)))
+    start = np.array([names.setdefault(bytes(r.root), i) for i, r in enumerate(rows)])
+    bags: dict = {}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for x in range(len(rows) - 1):
+        ys = np.arange(x + 1, len(rows))
+        ys = ys[(start[ys] != start[x]) & ((mine[ys] != mine[x]) if cross else True)]
+        if not len(ys):
+            continue
+        equal = (sig[ys] == sig[x]).sum(axis=1)
+        ys, equal = ys[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
+        first = (bands[ys] == bands[x]).argmax(axis=1) == this
+        ys, equal = ys[first], equal[first]
+        for y in ys[np.argsort(-equal, kind="stable")]:
+            p, q = find(start[x]), find(start[y])
+            if p != q:
+                for i in (x, y):
+                    if i not in bags:
+                        bags[i] = _unpack(rows[i].bag)
+                if overlaps(bags[x], bags[y]):
+                    parent[max(p, q)] = min(p, q)
+                    yield rows[x].node, rows[y].node
+
+
+def _blocks(batches):
+    """Rows sorted by bucket and pair of blocks -> links."""
+    now, rows = None, []
+    for batch in batches:
+        found = []
+        for r in batch.itertuples(index=False):
+            if now != (r.key, r.lo, r.hi):
+                found += _joining(now[0], rows) if now else []
+                now, rows = (r.key, r.lo, r.hi), []
+            rows.append(r)
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+    if now and (found := list(_joining(now[0], rows))):
+        yield pd.DataFrame(found, columns=["a", "b"])
 
 
 def classes(docs, id_col="doc_id", text_col="text"):
@@ -232,27 +287,25 @@ def classes(docs, id_col="doc_id", text_col="text"):
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
     signed = saved(docs.withColumn("s", _sign("text")).select("doc_id", "node", "s.bands", "s.sig"))
     nodes = saved(signed.where(F.size("bands") > 0).select("node", "bands", "sig").dropDuplicates(["node"]))
-    members = saved(_shared(nodes.select("node", F.explode("bands").alias("key"))))
-    wanted = members.select("node").distinct()
-    bags = saved(docs.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi").select("node", _pack("text").alias("bag")))
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    members = saved(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    bags = saved(docs.select("node", "text").dropDuplicates(["node"]).join(meets, "node", "left_semi").select("node", _pack("text").alias("bag")))
 
-    links = _verified(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), nodes, bags)
+    leads = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("lead"))
+    links = _verified(members.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), nodes, bags)
     roots = components(links)
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "root"))["root"].alias("lead_root")).where("r0 <> r1")
-    rest = saved(rooted.join(mixed.select("key", "lead_root"), "key").select("key", "node", "root", "n", "lead", "lead_root"))
-    wide = (rest.where(F.col("n") > WIDE).join(nodes.select("node", F.explode("bands").alias("other")), "node").where("other <> key")
-            .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "root").distinct())
-    again = _shared(wide).groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("node", "root"))["root"].alias("lead_root")).where("r0 <> r1")
-    rest = rest.where(F.col("n") <= WIDE).select("key", "node", "root", "lead_root").unionByName(wide.join(again.select("key", "lead_root"), "key"))
-    rest = saved(rest)
-    outside = rest.where("root <> lead_root").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    pairs = outside.join(rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb")
-    more = _verified(pairs.select("a", "b"), nodes, bags)
+    rooted = members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rest = rooted.join(mixed.select("key"), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rest = rest.select("key", "node", "root", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rest = rest.join(nodes, "node").join(bags, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    more = rest.mapInPandas(_blocks, "a binary, b binary")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    rows = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    rows = saved(rows)
+    rows = saved(signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(least, "root").select("doc_id", "class_id", "class_size")
 

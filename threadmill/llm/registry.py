@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from threadmill.llm import op1_quality_rules, op2_chat, op6_minhash, op7_sharding, op10_bpe
+from threadmill.llm import op1_quality_rules, op2_chat, op3_classifier, op4_decontamination, op5_pii, op6_minhash, op7_sharding, op8_warc, op9_language, op10_bpe
 
-MODULES = (op1_quality_rules, op2_chat, op6_minhash, op7_sharding, op10_bpe)
+MODULES = (op1_quality_rules, op2_chat, op3_classifier, op4_decontamination, op5_pii, op6_minhash, op7_sharding, op8_warc, op9_language, op10_bpe)
 
 
 def queries():
