@@ -1,18 +1,29 @@
-"""A corpus pipeline: quality classifier, near duplicates, decontamination, personal data, tokens."""
+"""A corpus pipeline: quality classifier, near duplicates, decontamination, personal data, tokens.
+
+Each stage is written as Parquet in the shared folder and read again as the next one's documents. All but the last return
+the columns of documents; what a stage rejects is gone for the next. SQL can't express the classifier, the signatures or
+the encoding, so there is no oracle; tests/llm/test_pipeline.py compares run() with a statement of each stage by brute force.
+"""
 
 from __future__ import annotations
 
-from threadmill.llm import op10_bpe
+import uuid
+
+from threadmill.llm import op3_classifier, op4_decontamination, op5_pii, op6_minhash, op10_bpe
 from threadmill.llm.common import shared_dir, table
 
-STAGES = []
+STAGES = [
+    ("quality", op3_classifier.stage),
+    ("near_duplicates", op6_minhash.stage),
+    ("decontamination", op4_decontamination.stage),
+    ("personal_data", op5_pii.stage),
+    ("tokens", op10_bpe.stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages over documents, each written as Parquet in the shared folder and read again."""
-    import uuid
-
+    """The rows of the last stage over documents."""
     docs, to = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{to}/{name}")

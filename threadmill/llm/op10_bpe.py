@@ -132,3 +132,11 @@ def query(spark, sf_dir):
 def of(spark, docs):
     small_batches(spark)
     return digests(docs.select("doc_id", "text")).select("doc_id", "bpe.*")
+
+
+def stage(spark, docs, sf_dir):
+    """Per document: doc_id, n_tokens, ids, and whether the decoded ids are the text again."""
+    small_batches(spark)
+    tokens = decode(encode(docs.select("doc_id", "text")))
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))

@@ -28,6 +28,8 @@ from threadmill.llm.common import small_batches, table
 NAME = "op3_classifier"
 #: Most labelled rows that the regression is fitted to, and the posterior from which a document stays.
 SAMPLE, KEEP = 10_000, 0.5
+#: Paths up to which their rates are broadcast; beyond, both sides are shuffled and hot paths split.
+BROADCAST_PATHS = 100_000
 #: Bounds of the pseudo-counts.
 LEAST_PSEUDO, MOST_PSEUDO = 1.0, 1e6
 RIDGE = 1.0
@@ -127,7 +129,8 @@ def classify(docs, labels, id_col="doc_id", text_col="text", host=None, path=Non
     paths = paths.join(hosts, "_host").withColumn("rate", F.col("s") / 1e6 / F.col("n"))
     kp = _pseudo(paths, "rate", "host_rate", "n")
     rates = paths.select("_path", "host_rate", ((F.col("s") / 1e6 + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
-    out = scored.join(rates, "_path").drop("_path", "_host")
+    few = paths.count() <= BROADCAST_PATHS
+    out = scored.join(F.broadcast(rates) if few else rates, "_path").drop("_path", "_host")
     clipped = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("path_rate")))
     out = out.withColumn("posterior", F.round(1 / (1 + F.exp(-(F.col("evidence") + F.log(clipped / (1 - clipped))))), 6))
     return out.withColumn("kept", F.lit(True) if w is None else F.col("posterior") >= KEEP)

@@ -7,8 +7,8 @@ counts if its slots agree: over the windows that a document shares with an item,
 one value of the document and the reverse, as where the question was re-parameterised throughout. A document is
 contaminated if it has COVER per cent or more of an item's windows and slots agree; the item with most cover is named.
 
-The benchmark's windows are broadcast only if there are BROADCAST_ROWS of them or fewer, else both sides are shuffled; only
-windows that match reach the grouped counting. Equal windows are found by 64-bit hashes.
+The benchmark's windows are broadcast only if there are BROADCAST_ROWS of them or fewer, else both sides are shuffled; so are
+the contaminated ids, up to BROADCAST_BAD. Only windows that match reach the grouped counting. Equal windows are found by 64-bit hashes.
 
 Edge cases: null and empty texts have no windows and are clean; a text of fewer than WINDOW tokens is one window of all
 of them, so a short item only matches a text equal to it; rows that share an id share the verdict; a null id is an id; of
@@ -24,7 +24,7 @@ from threadmill.llm.common import saved, table
 
 NAME = "op4_decontamination"
 WINDOW, LITERALS, COVER = 5, 3, 50
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BAD = 1_000_000, 100_000
 UNITS = ("kg g mg t km m cm mm l ml h min s ms hours hour minutes minute seconds second days day weeks week months month years year miles mile feet foot inches inch "
          "pounds pound dollars dollar euros euro cents cent percent % € £ $ ° usd eur gbp kmh mph degrees").split()
 _NAME_MARK = "\x01"
@@ -76,6 +76,7 @@ def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_col="it
 def decontaminate(docs, benchmark, id_col="doc_id"):
     """docs plus contaminated (boolean), bench_item and cover (null where clean)."""
     bad = saved(contaminated(docs, benchmark, id_col)).select(F.col("id").alias("_id"), F.col("item_id").alias("bench_item"), "cover")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_BAD else bad
     docs = docs.drop("contaminated", "bench_item", "cover")
     out = docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("cover") > 0), "left")
     return out.withColumn("contaminated", F.col("cover").isNotNull()).drop("_id")
@@ -86,9 +87,7 @@ def query(spark, sf_dir):
 
 
 def of(docs, benchmark):
-    bad = saved(contaminated(docs, benchmark)).select(F.col("id").alias("_id"), "item_id", "cover")
-    out = docs.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.select("doc_id", F.col("cover").isNotNull().alias("contaminated"), "item_id", F.round("cover", 4).alias("cover"))
+    return decontaminate(docs.select("doc_id", "text"), benchmark).select("doc_id", "contaminated", F.col("bench_item").alias("item_id"), F.round("cover", 4).alias("cover"))
 
 
 def stage(spark, docs, sf_dir):

@@ -282,9 +282,20 @@ def _blocks(batches):
 
 def classes(docs, id_col="doc_id", text_col="text"):
     """A row for each of docs: its id and class_id, the least id of its class."""
+    rows = rooted(docs, id_col, text_col)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(least, "root").select("doc_id", "class_id", "class_size")
+
+
+def node_of(text):
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def rooted(docs, id_col="doc_id", text_col="text"):
+    """A row for each of docs: doc_id, node (what equal texts share) and root (what a class shares)."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), node_of(F.col(text_col)).alias("node"))
     signed = saved(docs.withColumn("s", _sign("text")).select("doc_id", "node", "s.bands", "s.sig"))
     nodes = saved(signed.where(F.size("bands") > 0).select("node", "bands", "sig").dropDuplicates(["node"]))
     rows = nodes.select("node", F.explode("bands").alias("key"))
@@ -305,10 +316,22 @@ def classes(docs, id_col="doc_id", text_col="text"):
     more = rest.mapInPandas(_blocks, "a binary, b binary")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    rows = saved(signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(least, "root").select("doc_id", "class_id", "class_size")
+    return saved(signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
+
+
+def representatives(docs, id_col="doc_id", text_col="text"):
+    """One row of each class of docs, with its columns: the one with the least id (null last), of equal ids the least text digest."""
+    key = lambda i, node: F.sha2(F.concat(F.coalesce(i.cast("string"), F.lit("-")).cast("binary"), F.lit(b"|"), node), 256)
+    first = rooted(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
+    chosen = first.select(key(F.col("x.doc_id"), F.col("x.node")).alias("_key"))
+    rows = docs.withColumn("_key", key(F.col(id_col), node_of(F.col(text_col)))).join(chosen, "_key")
+    return rows.dropDuplicates(["_key"]).select(*docs.columns)  # by the join's partitioning: only rows equal in id and text meet
 
 
 def query(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents"))
+
+
+def stage(spark, docs, sf_dir):
+    """One document of each group, with its columns."""
+    return representatives(docs)
