@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,6 @@ PSEUDO = 20.0
 _MARKS = ".,;:!?\"'()[]{}*#$%&|<>+-=/0123456789"
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (w.strip(_MARKS) for w in (text or "").lower().split()) if w]
-
-
 def train(docs, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"):
     """(languages, {word: log-likelihoods}, {trigram: log-likelihoods}) from a bounded sample of labelled rows."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -75,25 +72,62 @@ def trigrams(word):
 
 
 def _centred(v):
-    return np.clip(v - v.max(), -WORD_BOUND, 0)
-
-
-def likelihoods(text, langs, words, grams, seen) -> np.ndarray:
-    """Log-likelihoods of a whole text, up to a constant."""
-    out, n = np.zeros(len(langs)), 0
-    for w, c in Counter(words_of(text)).items():
-        v = seen.get(w)
-        if v is None:
-            v = words.get(w)
-            if v is None:
-                known = [grams[g] for g in trigrams(w[:40]) if g in grams]
-                v = sum(known) / 2 if known else np.zeros(len(langs))
-            v = _centred(v)
-            if len(seen) < 200_000:
-                seen[w] = v
-        out += c * v
-        n += c
-    return out * min(1.0, TEXT_WORDS / max(1, n))
+    """Rows of log-likelihoods against their largest, bounded."""
+    return np.clip(v - v.max(axis=1, keepdims=True), -WORD_BOUND, 0) if len(v) else v
+
+
+class Likelihoods:
+    """Log-likelihoods of whole texts, up to a constant each.
+
+    Words of the vocabulary are rows of a table; of the others, which a text may have any number of, only the trigrams
+    are looked up, MOST_AT_ONCE words at a time.
+    """
+
+    MOST_KEPT, MOST_AT_ONCE = 100_000, 10_000
+
+    def __init__(self, langs, words, grams):
+        self.n, self.words, self.grams = len(langs), {w: k for k, w in enumerate(words, 1)}, {g: k for k, g in enumerate(grams)}
+        self.said = np.vstack([np.zeros((1, self.n)), _centred(np.array(list(words.values())).reshape(-1, self.n))])  # row 0: bare marks
+        self.gram_said = np.array(list(grams.values())).reshape(-1, self.n)
+        self.at = dict(self.words)
+
+    def _rows(self, tokens):
+        """(table rows of the tokens that have one, the other tokens without marks)."""
+        rows = list(map(self.at.get, tokens))
+        if None not in rows:
+            return rows, []
+        known, others = [], []
+        for token, k in zip(tokens, rows, strict=True):
+            if k is None:
+                w = token.strip(_MARKS)
+                k = self.words.get(w) if w else 0
+                if k is None:
+                    others.append(w)
+                    continue
+                if len(self.at) < self.MOST_KEPT:
+                    self.at[token] = k
+            known.append(k)
+        return known, others
+
+    def _by_grams(self, others):
+        get, flat, ends = self.grams.get, [], []
+        for w in others:
+            p = f" {w[:40]} "
+            flat += [k for k in map(get, map("".join, zip(p, p[1:], p[2:], strict=False))) if k is not None]
+            ends.append(len(flat))
+        if not flat:
+            return np.zeros(self.n)
+        starts = np.array([0, *ends[:-1]])
+        some = starts < np.array(ends)
+        sums = np.add.reduceat(self.gram_said[flat], starts[some], axis=0) / 2
+        return _centred(sums).sum(axis=0)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        known, others = self._rows((text or "").lower().split())
+        total = self.said[known].sum(axis=0) if known else np.zeros(self.n)
+        for i in range(0, len(others), self.MOST_AT_ONCE):
+            total = total + self._by_grams(others[i:i + self.MOST_AT_ONCE])
+        return total * min(1.0, TEXT_WORDS / max(1, np.count_nonzero(known) + len(others)))
 
 
 def identify(rows, trained, text="text", declared="declared", suffix="suffix", host="host"):
@@ -104,16 +138,18 @@ def identify(rows, trained, text="text", declared="declared", suffix="suffix", h
         return rows.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "text_language": F.lit(None).cast("string")})
     small_batches(rows.sparkSession)
     n = len(langs)
-    sent = rows.sparkSession.sparkContext.broadcast((langs, words, grams))  # bounded by VOCABULARY
+    sent = rows.sparkSession.sparkContext.broadcast(Likelihoods(langs, words, grams))  # bounded by VOCABULARY
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(texts: pd.Series) -> pd.Series:
-        seen: dict = {}
-        return pd.Series([np.round(likelihoods(t, *sent.value, seen), 6) for t in texts], dtype=object)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = sent.value
+        for texts in batches:
+            yield pd.Series([np.round(of(t), 6) for t in texts], dtype=object)
 
     keyed = saved(rows.withColumns({
         "_ll": score(F.col(text).cast("string")), "_d": F.lower(F.split(F.coalesce(F.col(declared), F.lit("")), "[-_]")[0]),
         "_s": F.lower(F.coalesce(F.col(suffix), F.lit(""))), "_h": F.lower(F.coalesce(F.col(host), F.lit("")))}).drop(text))
+    sent.unpersist()  # the checkpoint has all that it was for
     top = lambda a: F.element_at(F.filter(F.lit(langs), lambda x, i: F.get(a, i) == F.array_max(a)), 1)
 
     def softmax(a):
