@@ -7,13 +7,14 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Which characters mark a double-encoded text, and the replacement rules of a slug.
 MOJIBAKE_MARKS = "[ÄÅÃ]"
 MOJIBAKE_MARKS_EXTENDED = "[ÄÅÃâÂð]"
 BEYOND_LATIN1 = r"[^\x00-\xFF]"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-UNSAFE_IN_SLUG = r'[\\/:*?"<>|]+'
+UNSAFE_IN_SLUG = r'[\\/:*?"<>|]'
 SLUG_BLANKS = r"[\t\r\f\x0B ]+"
 SLUG_LENGTH = 140
 PREVIEW_LENGTH = 100
@@ -45,7 +46,7 @@ def fix_mojibake(x, mode: str = "compat") -> Column:
     return F.when(t.rlike(marks) & ~t.rlike(BEYOND_LATIN1), F.coalesce(repaired, t)).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
@@ -124,21 +125,17 @@ def html_lines(x) -> Column:
     return F.replace(escape_html(x), F.lit("\n"), F.lit("<br>"))
 
 
-def register(spark) -> None:
-    """The functions that users call from SQL, as SQL functions of the session: tm_clean, tm_slug, tm_words, tm_preview, tm_filename."""
-    for name, of, kind in (("tm_slug", slugify, "STRING"), ("tm_words", word_count, "INT"), ("tm_preview", preview, "STRING"), ("tm_filename", uri_filename, "STRING")):
-        body = of("x")._jc.toString() if hasattr(of("x"), "_jc") else None
-        if body is None:  # pragma: no cover - a remote session has no expression text
-            continue
-        del body
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {SQL_BODIES[name]}")
-    spark.udf.register("tm_unescape", _unescape)
+#: Bodies of the SQL functions that ``register`` offers; a test holds them against the expressions above.
+SQL_FUNCTIONS = {
+    "tm_slug": ("STRING", r"""substring(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(x, ''), r'(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z', '')), r'[\\/:*?"<>|]', '-'), r'[\t\r\f\x0B ]+', '_'), '_+', '_'), 1, 140)"""),
+    "tm_words": ("INT", r"""size(filter(split(coalesce(x, ''), r'(?U)[\s\x1c-\x1f]+'), w -> w <> ''))"""),
+    "tm_preview": ("STRING", r"""translate(concat(substring(coalesce(x, ''), 1, 100), CASE WHEN length(coalesce(x, '')) > 100 THEN '...' ELSE '' END), '\n', ' ')"""),
+    "tm_filename": ("STRING", "substring_index(substring_index(coalesce(x, ''), '/', -1), '?', 1)"),
+}
 
 
-#: SQL texts of the functions that ``register`` offers; a test holds them against the expressions above.
-SQL_BODIES = {
-    "tm_slug": r"""substring(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(x, ''), '(?U)\\A[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+\\z', '')), '[\\\\/:*?"<>|]+', '-'), '[\\t\\r\\f\\x0B ]+', '_'), '_+', '_'), 1, 140)""",
-    "tm_words": r"""size(filter(split(coalesce(x, ''), '(?U)[\\s\\x1c-\\x1f]+'), w -> w <> ''))""",
-    "tm_preview": r"""translate(concat(substring(coalesce(x, ''), 1, 100), CASE WHEN length(coalesce(x, '')) > 100 THEN '...' ELSE '' END), '\n', ' ')""",
-    "tm_filename": r"""substring_index(substring_index(coalesce(x, ''), '/', -1), '?', 1)""",
-}
+def register(spark) -> None:
+    """Makes text functions callable from the session's SQL: those of SQL_FUNCTIONS, and tm_unescape."""
+    for name, (kind, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
+    spark.udf.register("tm_unescape", _unescape)
