@@ -81,7 +81,9 @@ def participants_of(column):
 def messages_of(parsed: DataFrame) -> DataFrame:
     """The cleaned messages of parsed files. Rows without a time, and those without text, attachment and reaction, go."""
     rows = parsed.select("thread_key", "source_id", "source_seq", "file_seq", F.posexplode("data.messages").alias("msg_idx", "m")).where("m is not null")
-    ms = F.expr("try_cast(regexp_extract(trim(coalesce(m.timestamp_ms, m.timestamp)), '^([+-]?[0-9]+)([.][0-9]*)?$', 1) AS BIGINT)")
+    # numbers of JSON come as their text, fractions as doubles'; both are truncated. A fraction in a string can't be told from one.
+    ms = F.expr("CASE t WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE coalesce(try_cast(t AS BIGINT), try_cast(try_cast(t AS DECIMAL(38, 4)) AS BIGINT)) END")
+    rows = rows.withColumn("t", F.expr("trim(coalesce(m.timestamp_ms, m.timestamp))"))
     sender = clean_text(F.coalesce(F.nullif(F.col("m.sender_name"), F.lit("")), F.col("m.senderName")))
     rows = rows.withColumn("timestamp_ms", ms).where("timestamp_ms is not null").withColumns({
         "_sender": sender, "content": clean_text(F.coalesce(F.col("m.content"), F.col("m.text"))), "reactions": reaction_summary("m.reactions"),
@@ -120,6 +122,8 @@ def read_archive(spark: SparkSession, roots, limit: int | None = None, after=Non
         one = list_files(spark, path, name, seq)
         files = one if files is None else files.unionByName(one)
     found = discover(files)
+    if len(pairs) > 1:  # sources may overlap
+        found = found.withColumn("thread_key", F.concat_ws("|", "source_id", "thread_key"))
     if limit is not None:
         first = found.select("source_seq", "standalone", "thread_key").distinct().orderBy("source_seq", "standalone", "thread_key").limit(limit)
         found = found.join(F.broadcast(first.select("thread_key", "standalone")), ["thread_key", "standalone"], "left_semi")  # limit rows at most
