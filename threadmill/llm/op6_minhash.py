@@ -283,7 +283,8 @@ def _blocks(batches):
 def classes(docs, id_col="doc_id", text_col="text"):
     """A row for each of docs: its id and class_id, the least id of its class."""
     rows = rooted(docs, id_col, text_col)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # a saved table on either side of a join, and not an aggregation above the exchange, lets Spark split a hot key's rows
+    least = saved(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return rows.join(least, "root").select("doc_id", "class_id", "class_size")
 
 
@@ -299,15 +300,15 @@ def rooted(docs, id_col="doc_id", text_col="text"):
     signed = saved(docs.withColumn("s", _sign("text")).select("doc_id", "node", "s.bands", "s.sig"))
     nodes = saved(signed.where(F.size("bands") > 0).select("node", "bands", "sig").dropDuplicates(["node"]))
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    members = saved(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    members = saved(rows.join(saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key"))
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     bags = saved(docs.select("node", "text").dropDuplicates(["node"]).join(meets, "node", "left_semi").select("node", _pack("text").alias("bag")))
 
-    leads = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("lead"))
+    leads = saved(members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("lead")))
     links = _verified(members.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), nodes, bags)
     roots = components(links)
     rooted = members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    mixed = saved(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1"))
     blocks = F.ceil(F.col("n") / BLOCK)
     rest = rooted.join(mixed.select("key"), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
