@@ -36,16 +36,18 @@ def test_reparameterised(spark):
     rows = [
         (1, "Try this. " + ITEM + " Good luck with it."),
         (2, ITEM.replace("Ada", "Bob").replace("12", "40").replace("3 dollars", "9 euros").replace("5 kg", "7 lb") + " More."),
-        (3, ITEM.replace("named Ada", "named Bob").replace("12 apples for", "40 apples for")),  # 12 is 40 here and 12 there
+        (3, ITEM.replace("named Ada", "named Bob").replace("12 apples for", "40 apples for")),  # most of it verbatim
+        (15, ITEM.replace("Ada", "Bob").replace("12 apples for", "40 apples for").replace("12 apples?", "41 apples?").replace("3 dollars", "9 euros").replace("5 kg", "7 lb")),  # 12 is 40 here and 41 there
+        (14, ITEM + " Later on, after selling 99 apples for 7 dollars each, Eve buys nothing."),  # verbatim beside other values
         (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"), (5, None), (6, ""), (6, ""), (None, ITEM), (11, "Two words"), (12, "two words more"),
         (13, "A plain text about nothing of the kind, with words enough to make windows."),
     ]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
     got = [(r.doc_id, r.contaminated, r.item_id) for r in op.of(docs, bench).collect()]
-    assert sorted((d for d, c, _ in got if c), key=str) == sorted([1, 2, 11, None], key=str)
+    assert sorted((d for d, c, _ in got if c), key=str) == sorted([1, 2, 3, 11, 14, None], key=str)
     assert len(got) == len(rows) and {i for d, c, i in got if d == 1} == {7}
     kept = op.decontaminate(docs, bench).where("not contaminated")
-    assert kept.count() == len(rows) - 4
+    assert kept.count() == len(rows) - 6
     assert op.of(docs.limit(0), bench).count() == 0
     assert op.of(docs, bench.limit(0)).where("contaminated").count() == 0
 

@@ -4,8 +4,9 @@ Texts of both sides become templates: tokens are lower-cased words, and numbers,
 sentence) and units (after a number) become typed placeholders. Windows of WINDOW template tokens with LITERALS words or
 more that aren't placeholders are hashed; the documents' windows are joined to the benchmark's. A shared template only
 counts if its slots agree: over the windows that a document shares with an item, each of the item's slot values stands for
-one value of the document and the reverse, as where the question was re-parameterised throughout. A document is
-contaminated if it has COVER per cent or more of an item's windows and slots agree; the item with most cover is named.
+one value of the document and the reverse, as where the question was re-parameterised throughout. Where slots disagree, only
+windows with the item's own values count, as a text can hold an item verbatim beside other numbers. A document is
+contaminated if it has COVER per cent or more of an item's windows; the item with most cover is named.
 
 The benchmark's windows are broadcast only if there are BROADCAST_ROWS of them or fewer, else both sides are shuffled; so are
 the contaminated ids, up to BROADCAST_BAD. Only windows that match reach the grouped counting. Equal windows are found by 64-bit hashes.
@@ -62,12 +63,13 @@ def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_col="it
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
     small = items.count() <= BROADCAST_ROWS
     found = windows(templates(docs, id_col, text_col)).join(F.broadcast(items) if small else items, "h")
-    found = saved(found.select("id", "item_id", "item_at", "slots", "item_slots"))
+    found = saved(found.select("id", "item_id", "item_at", "slots", "item_slots", F.col("slots").eqNullSafe(F.col("item_slots")).alias("verbatim")))
     pairs = found.where(F.size("slots") > 0).select("id", "item_id", F.explode(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))).alias("p")).select("id", "item_id", "p.was", "p.now").distinct()
     odd = pairs.groupBy("id", "item_id").agg(F.count("*").alias("k"), F.count_distinct("was").alias("a"), F.count_distinct("now").alias("b")).where("a < k or b < k").select("id", "item_id", F.lit(True).alias("odd"))
     same = (F.col("l.id").eqNullSafe(F.col("r.id"))) & (F.col("l.item_id").eqNullSafe(F.col("r.item_id")))
-    counts = found.select("id", "item_id", "item_at").distinct().groupBy("id", "item_id").agg(F.count("*").alias("m"))
-    counts = counts.alias("l").join(odd.alias("r"), same, "left").where("r.odd is null").select("l.*")
+    at = found.groupBy("id", "item_id", "item_at").agg(F.bool_or("verbatim").alias("verbatim"))
+    counts = at.groupBy("id", "item_id").agg(F.count("*").alias("all"), F.count_if("verbatim").alias("same"))
+    counts = counts.alias("l").join(odd.alias("r"), same, "left").select("l.id", "l.item_id", F.when(F.col("r.odd"), F.col("l.same")).otherwise(F.col("l.all")).alias("m"))
     counts = counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).select("l.id", "l.item_id", (100 * F.col("m") / F.col("n")).alias("cover"))
     best = F.max(F.struct("cover", (-F.col("item_id")).alias("item")))
     return counts.where(F.col("cover") >= COVER).groupBy("id").agg(best.alias("b")).select("id", (-F.col("b.item")).alias("item_id"), "b.cover")
