@@ -1,7 +1,7 @@
 """Statistics of threads and of whole archives.
 
-Each is a grouped aggregation, so Spark combines on the map side; only the response time needs a thread's messages in order.
-A thread is never gathered into one row: counts by sender, month and so on are rows, and become maps at the end.
+Each is a grouped aggregation, so Spark combines on the map side; where messages are needed in order, threads are dealt by
+their days. A thread is never gathered into one row: counts by sender, month and so on are rows, and become maps at the end.
 """
 
 from __future__ import annotations
@@ -64,11 +64,20 @@ def longest_message(messages: DataFrame) -> DataFrame:
 
 
 def response_gaps(messages: DataFrame) -> DataFrame:
-    """Seconds from each message to the one before it in the thread, where the sender changed and 0 < gap < a day."""
-    w = Window.partitionBy("thread_key").orderBy(*ORDER)
-    second = F.floor(F.col("timestamp_ms") / 1000)
-    gaps = messages.select("thread_key", *ORDER, "sender").withColumns({"_was": F.lag("sender").over(w), "gap": second - F.lag(second).over(w)})
-    return gaps.where((F.col("sender") != F.col("_was")) & (F.col("gap") > 0) & (F.col("gap") < DAY_SECONDS)).select("thread_key", "sender", "gap")
+    """Seconds from each message to the one before it in the thread, where the sender changed and 0 < gap < a day.
+
+    A thread is dealt by its days (of epoch seconds), so a long one is no single task's work: the message before is of the same
+    day or, as the gap is less than a day, the last one of the day before.
+    """
+    rows = messages.select("thread_key", *ORDER, "sender", F.floor(F.col("timestamp_ms") / 1000).alias("second")).withColumn("day", F.floor(F.col("second") / DAY_SECONDS))
+    w = Window.partitionBy("thread_key", "day").orderBy(*ORDER)
+    within = rows.withColumns({"_was": F.lag("sender").over(w), "_then": F.lag("second").over(w), "_first": F.row_number().over(w) == 1})
+    last = rows.groupBy("thread_key", "day").agg(F.max(F.struct(*ORDER, "sender", "second")).alias("x"))
+    last = last.select("thread_key", (F.col("day") + 1).alias("day"), F.col("x.sender").alias("_was"), F.col("x.second").alias("_then"))
+    firsts = within.where("_first").drop("_was", "_then").join(last, ["thread_key", "day"])
+    columns = ["thread_key", "sender", "_was", (F.col("second") - F.col("_then")).alias("gap")]
+    both = within.where("not _first").select(*columns).unionByName(firsts.select(*columns))
+    return both.where((F.col("sender") != F.col("_was")) & (F.col("gap") > 0) & (F.col("gap") < DAY_SECONDS)).select("thread_key", "sender", "gap")
 
 
 def response_time(messages: DataFrame) -> DataFrame:
@@ -82,9 +91,9 @@ def attachment_counts(messages: DataFrame, by_thread: bool = True) -> DataFrame:
 
 
 def date_dividers(messages: DataFrame) -> DataFrame:
-    """The messages that start a new day in their thread."""
-    w = Window.partitionBy("thread_key").orderBy(*ORDER)
-    return messages.withColumn("day", BUCKETS["day"]()).withColumn("_was", F.lag("day").over(w)).where("_was is null or _was <> day").drop("_was")
+    """The messages that start a new day in their thread: the first of each day, as a thread is in order of time."""
+    w = Window.partitionBy("thread_key", "day").orderBy(*ORDER)
+    return messages.withColumn("day", BUCKETS["day"]()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def _map(counts: DataFrame, key: str, name: str, value: str = "n_messages") -> DataFrame:
