@@ -94,3 +94,30 @@ def query(spark, sf_dir):
 def of(docs):
     return clean(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
+_SPACES = r"[\x20\x09-\x0D]+"
+#: The same counts and rules in DuckDB: windows as joined words, bars as words of their own.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACES}'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS l FROM d),
+     v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS c
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW})),
+     r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM v WHERE c > 1) GROUP BY doc_id),
+     lines AS (SELECT doc_id, unnest(l) AS line FROM w),
+     facts AS (SELECT doc_id, line, regexp_split_to_array(trim(line), '{_SPACES}') AS lw, length(line) - length(regexp_replace(line, '[{SYMBOLS}]', '', 'g')) AS symbols FROM lines),
+     lost AS (SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(line, '[^\\x20\\x09-\\x0D]') AND (
+                 (symbols > 0 AND 100 * symbols > {SYMBOL_SHARE} * length(line))
+                 OR (regexp_matches(line, '[!?]{{2}}') AND 2 * len(regexp_extract_all(line, '[!?]{{2,}}')) >= len(lw))
+                 OR (length(line) > {2 * LONG_LINE} AND NOT regexp_matches(line, '[.!?;:。！？…]') AND len(lw) > {LONG_LINE})
+                 OR len(list_filter(lw, lambda x: x IN ('|', '»', '›', '→'))) >= {NAV_BARS}
+                 OR (length(line) < 400 AND regexp_matches(line, '{BOILERPLATE}') AND len(lw) <= {BOILERPLATE_WORDS}))
+               THEN length(line) ELSE 0 END) AS BIGINT) AS lost_chars FROM facts GROUP BY doc_id),
+     b AS (SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                  CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+                  CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS BIGINT) AS n_dup_lines,
+                  coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_chars <= {MOST_LOST} * length(t) AS kept, lost_chars
+FROM b JOIN lost USING (doc_id)
+"""

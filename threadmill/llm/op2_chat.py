@@ -241,3 +241,17 @@ def of(spark, rows):
     parts = format_records(records).select("conv_id", "turn", "role", "text", "formatted", "loss_spans")
     parts = parts.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
     return read_back(parts.select("conv_id", "formatted", "loss_spans"))
+
+
+_ADDED_SQL = ADDED.replace("'", "''")
+#: What the output must read back as, and the length that the template's escapes give it.
+ORACLE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_ADDED_SQL}' UNION ALL SELECT -7, 1, 'assistant', '{_ADDED_SQL}'),
+     e AS (SELECT *, length(replace(replace(replace(r, chr(92), chr(92) || chr(92)), '<', chr(92) || '<'), '>', chr(92) || '>'))
+                  + length(replace(replace(x, chr(92), chr(92) || chr(92)), '<', chr(92) || '<')) + length('<turn >') + 1 + length('</turn>') + 1 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
