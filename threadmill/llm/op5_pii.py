@@ -8,8 +8,8 @@ Found and replaced, each within its own format, so that equal values get equal p
 * IPv4 addresses with octets up to 255: the 32 bits are permuted;
 * social security numbers (3-2-4 digits) whose groups are none of 000, 00, 0000, 666, 9xx: the digits are permuted;
 * dates of 1900 to 2099 that exist, as yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy: the day's number is permuted;
-* what numbers can't name: an e-mail's local part becomes a keyed digest, and so does a quoted secret after token, key,
-  secret or password, in its length.
+* what numbers can't name: an e-mail's local part becomes a keyed digest, and so does a secret after token, key, secret
+  or password, in its length (quoted, or unquoted with a digit), and the 16 characters of an access key.
 
 The Feistel network alternates between two halves of the digits (or bits, or a date's number): ROUNDS rounds each add a
 SHA-256 of key, kind, length, round and the other half, modulo the half's size. Each round is invertible, so the whole
@@ -37,7 +37,9 @@ IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./\-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./\-][0-9])"
 SSN = r"(?<![0-9A-Za-z.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join((SECRET, EMAIL, PHONE, IP, DATE, SSN, CARD))
+BARE_SECRET = r"(?<![0-9A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[=:] ?(?=[A-Za-z_\-+/]{0,64}[0-9])[A-Za-z0-9_\-+/=.]{7,511}[A-Za-z0-9_\-+/]"
+ACCESS_KEY = r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"
+PATTERN = "|".join((SECRET, BARE_SECRET, ACCESS_KEY, EMAIL, PHONE, IP, DATE, SSN, CARD))
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 
 
@@ -141,10 +143,13 @@ def pseudonym(m, key=KEY):
     ssn = F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)..-(?!0000)"), refill(m, permute_digits(_digits(m), key, "ssn"))).otherwise(m)
     local_part = F.substring_index(m, "@", 1)
     mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(m)), 256), 1, 16), F.substring(m, F.length(local_part) + 1, F.length(m)))
-    inner = F.regexp_extract(m, "[\"'](.*)[\"']$", 1)
+    opening = F.regexp_extract(m, "^[A-Za-z_-]+\\s{0,3}[=:]\\s{0,3}[\"']?", 0)
+    closing = F.regexp_extract(m, "[\"']?$", 0)
+    inner = F.substring(m, F.length(opening) + 1, F.length(m) - F.length(opening) - F.length(closing))
     keyed = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit(str(i)), inner), 256) for i in range(8)])
-    secret = F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(inner) - 1), F.substring(keyed, F.lit(1), F.length(inner)), F.substring(m, -1, 1))
-    return (F.when(m.rlike("[\"']$"), secret).when(F.contains(m, F.lit("@")), mail).when(m.startswith("+"), phone)
+    secret = F.concat(opening, F.substring(keyed, F.lit(1), F.length(inner)), closing)
+    access = F.concat(F.substring(m, 1, 4), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("access"), m), 256), 1, 16)))
+    return (F.when(m.rlike("^[A-Za-z_-]+\\s{0,3}[=:]"), secret).when(m.rlike(f"^{ACCESS_KEY}$"), access).when(F.contains(m, F.lit("@")), mail).when(m.startswith("+"), phone)
             .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), address(octets)).when(m.rlike(f"^(?:{DATE})$"), date).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn)
             .otherwise(refill(m, permute_card(_digits(m), key))))
 
@@ -152,7 +157,7 @@ def pseudonym(m, key=KEY):
 def protect(df, text="text", key=KEY):
     """df with the text's personal data replaced, plus n_replaced (long)."""
     df = df.drop("n_replaced") if text != "n_replaced" else df
-    has = F.col(text).rlike("[0-9]{2}|@|[\"']")
+    has = F.col(text).rlike("[0-9]|@|[\"']|A[KS]IA")
     df = df.withColumn("_m", F.when(has, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
     gaps = F.split(F.col(text), PATTERN)
     fresh = F.zip_with(gaps, F.transform("_m", lambda m: pseudonym(m, key)), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
