@@ -44,6 +44,8 @@ M = BANDS * ROWS
 BLOCK = 1024
 #: Components (of M) that the signatures of a pair share that is verified.
 LEAST_EQUAL = 60
+#: Word hashes that a worker keeps.
+WORDS_KEPT = 200_000
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _words: dict[str, int] = {}
 
@@ -60,7 +62,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > WORDS_KEPT:
         _words.clear()
     try:
         ids = [_words[w] for w in words]
