@@ -57,3 +57,21 @@ def test_shuffled_join_is_the_same(spark, monkeypatch):
     a = sorted(map(tuple, op.of(docs, bench).collect()))
     monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, op.of(docs, bench).collect())) == a
+
+
+def caught(spark, item, texts):
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.contaminated for r in op.of(docs, bench).orderBy("doc_id").collect()]
+
+
+def test_each_run_is_judged_alone(spark):
+    twice = "Then we see that Ann buys 3 red pens and Bob buys 5 red pens and Cy buys 9 red pens today"
+    renamed = twice.replace("Ann", "Dora").replace("Bob", "Eve").replace("Cy", "Finn").replace("3", "4").replace("5", "6").replace("9", "8")
+    assert caught(spark, twice, [renamed, renamed.replace("Eve buys", "Eve then buys"), renamed.replace("8", "6")]) == [True, True, True]
+    a = ITEM.replace("Ada", "Bob").replace("12", "40").replace("3 dollars", "9 euros")
+    b = ITEM.replace("Ada", "Eve").replace("12", "70").replace("3 dollars", "8 pounds")
+    far = " The end came and after selling 99 apples for 7 dollars each, nobody buys."
+    assert caught(spark, ITEM, [a + " Next. " + b, a.replace("9 euros", "40 euros"), a + " and so on" * 30 + far]) == [True, True, True]
+    wrong = ITEM.replace("Ada", "Bob").replace("12 apples for", "40 apples for").replace("12 apples?", "41 apples?").replace("3 dollars", "9 euros").replace("5 kg", "7 lb")
+    assert caught(spark, ITEM, [wrong + " Next. " + wrong, "Nothing of it."]) == [False, False]

@@ -3,10 +3,13 @@
 Texts of both sides become templates: tokens are lower-cased words, and numbers, names (capitalised words within a
 sentence) and units (after a number) become typed placeholders. Windows of WINDOW template tokens with LITERALS words or
 more that aren't placeholders are hashed; the documents' windows are joined to the benchmark's. A shared template only
-counts if its slots agree: over the windows that a document shares with an item, each of the item's slot values stands for
-one value of the document and the reverse, as where the question was re-parameterised throughout. Where slots disagree, only
-windows with the item's own values count, as a text can hold an item verbatim beside other numbers. A document is
-contaminated if it has COVER per cent or more of an item's windows; the item with most cover is named.
+counts if its slots agree over a run of matches: each of the item's slot values stands for one value of the document, as
+where the question was re-parameterised throughout. The runs of a document and an item are the whole text, each diagonal
+(matches whose places differ by the same number: a copy), and each occurrence (the longest diagonal at each place, until
+the item's place goes back or the document's jumps by more than the item's length: a copy with words put in or left out).
+Where a run's slots disagree, only its windows with the item's own values count, as a text can hold an item verbatim
+beside other numbers. A document is contaminated if a run has COVER per cent or more of an item's windows; the item with
+most cover is named.
 
 The benchmark's windows are broadcast only if there are BROADCAST_ROWS of them or fewer, else both sides are shuffled; so are
 the contaminated ids, up to BROADCAST_BAD. Only windows that match reach the grouped counting. Equal windows are found by 64-bit hashes.
@@ -19,6 +22,7 @@ further columns are not read.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import saved, table
@@ -45,7 +49,7 @@ def templates(df, id_col, text_col):
 
 
 def windows(df):
-    """(id, at, h, slots): each window's place, hash and slot values (null without slots)."""
+    """(id, n, at, h, slots): its text's tokens, each window's place, hash and slot values (null without slots)."""
     n = F.size("tpl")
     slotted = F.exists("tpl", lambda w: w.startswith("<"))
     values = lambda i: F.filter(F.slice("raw", i, WINDOW), lambda w, k: F.get(F.col("tpl"), i - 1 + k).startswith("<"))
@@ -54,21 +58,39 @@ def windows(df):
     enough = lambda i: F.size(F.filter(F.slice("tpl", i, WINDOW), lambda w: ~w.startswith("<"))) >= F.when(short, 1).otherwise(LITERALS)
     bare = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("tpl", i, WINDOW)).alias("h"), F.lit(None).cast("array<string>").alias("slots")))
     rich = F.transform(F.filter(at, enough), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("tpl", i, WINDOW)).alias("h"), values(i).alias("slots")))
-    return df.select("id", F.explode(F.when(slotted, rich).otherwise(bare)).alias("w")).select("id", "w.*")
+    return df.select("id", n.alias("n"), F.explode(F.when(slotted, rich).otherwise(bare)).alias("w")).select("id", "n", "w.*")
+
+
+def runs(found):
+    """found once for each run that a match belongs to (see the top): the whole text, its diagonal, its occurrence."""
+    pair = Window.partitionBy("id", "item_id")
+    found = found.withColumn("diag", F.col("at") - F.col("item_at"))
+    found = found.withColumn("_size", F.count("*").over(Window.partitionBy("id", "item_id", "diag")))
+    found = found.withColumn("_best", F.min(F.struct(-F.col("_size"), "diag", "item_at")).over(Window.partitionBy("id", "item_id", "at")))
+    found = found.withColumn("_best", (F.col("_best.diag") == F.col("diag")) & (F.col("_best.item_at") == F.col("item_at")))
+    kept = Window.partitionBy("id", "item_id", "_best").orderBy("at")
+    starts = (F.col("item_at") <= F.lag("item_at").over(kept)) | (F.col("at") - F.lag("at").over(kept) > F.col("n"))
+    found = found.withColumn("_start", F.coalesce(starts, F.lit(False)).cast("int"))
+    found = found.withColumn("_part", F.sum("_start").over(kept))
+    run = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    ways = [run(0, F.lit(0)), run(1, F.col("diag"))]
+    ways = F.when(F.col("_best"), F.array(*ways, run(2, F.col("_part")))).otherwise(F.array(*ways))
+    return found.withColumn("run", F.explode(ways)).drop("_size", "_best", "_start", "_part", "diag")
 
 
 def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
     """(id, item_id, cover): the contaminated documents, the item each has most of, and how many per cent."""
-    items = saved(windows(templates(benchmark, item_col, item_text)).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots")))
+    items = saved(windows(templates(benchmark, item_col, item_text)).select(F.col("id").alias("item_id"), "n", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots")))
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
     small = items.count() <= BROADCAST_ROWS
-    found = windows(templates(docs, id_col, text_col)).join(F.broadcast(items) if small else items, "h")
-    found = saved(found.select("id", "item_id", "item_at", "slots", "item_slots", F.col("slots").eqNullSafe(F.col("item_slots")).alias("verbatim")))
-    pairs = found.where(F.size("slots") > 0).select("id", "item_id", F.explode(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))).alias("p")).select("id", "item_id", "p.was", "p.now").distinct()
-    odd = pairs.groupBy("id", "item_id").agg(F.count("*").alias("k"), F.count_distinct("was").alias("a"), F.count_distinct("now").alias("b")).where("a < k or b < k").select("id", "item_id", F.lit(True).alias("odd"))
-    same = (F.col("l.id").eqNullSafe(F.col("r.id"))) & (F.col("l.item_id").eqNullSafe(F.col("r.item_id")))
-    at = found.groupBy("id", "item_id", "item_at").agg(F.bool_or("verbatim").alias("verbatim"))
-    counts = at.groupBy("id", "item_id").agg(F.count("*").alias("all"), F.count_if("verbatim").alias("same"))
+    found = windows(templates(docs, id_col, text_col)).drop("n").join(F.broadcast(items) if small else items, "h")
+    found = saved(found.select("id", "at", "item_id", "item_at", "n", "slots", "item_slots", F.col("slots").eqNullSafe(F.col("item_slots")).alias("verbatim")))
+    found, key = runs(found), ["id", "item_id", "run"]
+    pairs = found.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))).alias("p"))
+    odd = pairs.groupBy(*key, "p.was").agg((F.min("p.now") < F.max("p.now")).alias("odd")).where("odd").select(*key, "odd").distinct()
+    same = (F.col("l.id").eqNullSafe(F.col("r.id"))) & (F.col("l.item_id").eqNullSafe(F.col("r.item_id"))) & (F.col("l.run") == F.col("r.run"))
+    at = found.groupBy(*key, "item_at").agg(F.bool_or("verbatim").alias("verbatim"))
+    counts = at.groupBy(*key).agg(F.count("*").alias("all"), F.count_if("verbatim").alias("same"))
     counts = counts.alias("l").join(odd.alias("r"), same, "left").select("l.id", "l.item_id", F.when(F.col("r.odd"), F.col("l.same")).otherwise(F.col("l.all")).alias("m"))
     counts = counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).select("l.id", "l.item_id", (100 * F.col("m") / F.col("n")).alias("cover"))
     best = F.max(F.struct("cover", (-F.col("item_id")).alias("item")))
