@@ -75,3 +75,13 @@ def test_each_run_is_judged_alone(spark):
     assert caught(spark, ITEM, [a + " Next. " + b, a.replace("9 euros", "40 euros"), a + " and so on" * 30 + far]) == [True, True, True]
     wrong = ITEM.replace("Ada", "Bob").replace("12 apples for", "40 apples for").replace("12 apples?", "41 apples?").replace("3 dollars", "9 euros").replace("5 kg", "7 lb")
     assert caught(spark, ITEM, [wrong + " Next. " + wrong, "Nothing of it."]) == [False, False]
+
+
+def test_few_literals_and_short_items(spark):
+    for item in ("Solve 12 * 34 + 56 - 7", "Add 1 2 3 4 5 6 7 8"):
+        assert caught(spark, item, ["Now: " + item + " = what", item.replace("2", "9"), "Solve it, or add 1 2 3"]) == [True, False, False]
+    assert caught(spark, "what is entropy", ["Tell me, what is entropy in 12 words?", "tell me what is entropy", "What entropy is"]) == [True, True, False]
+    assert caught(spark, "solve 12 34", ["please solve 12 34 now", "solve 5 6", "please solve 5 6 now"]) == [True, True, False]
+    assert caught(spark, "什么是热力学的熵", ["请问什么是热力学的熵呢", "请问什么是爱"]) == [True, False]
+    ends = "The answers to the following are 1 2 3 4 5 6 7 8"  # half of its windows have few literals; the renamed copy counts by the others
+    assert caught(spark, ends, ["So: " + ends, "The answers to the following are 9 8 7 6 5 4 3 1"]) == [True, True]

@@ -11,11 +11,15 @@ Where a run's slots disagree, only its windows with the item's own values count,
 beside other numbers. A document is contaminated if a run has COVER per cent or more of an item's windows; the item with
 most cover is named.
 
+Windows with fewer literals stand for their own values only, and are found verbatim. Cover is the greater of the shares of
+all windows and of those with LITERALS words. Letters of scripts without spaces are tokens of their own. An item of
+LITERALS tokens or more, but fewer than WINDOW, is one window of its length, found inside documents; one of fewer tokens
+is too common a phrase and only equals a whole text.
+
 The benchmark's windows are broadcast only if there are BROADCAST_ROWS of them or fewer, else both sides are shuffled; so are
 the contaminated ids, up to BROADCAST_BAD. Only windows that match reach the grouped counting. Equal windows are found by 64-bit hashes.
 
-Edge cases: null and empty texts have no windows and are clean; a text of fewer than WINDOW tokens is one window of all
-of them, so a short item only matches a text equal to it; rows that share an id share the verdict; a null id is an id; of
+Edge cases: null and empty texts have no windows and are clean; rows that share an id share the verdict; a null id is an id; of
 items that cover equally the least id is named; an empty benchmark leaves all clean; an empty table gives no rows;
 further columns are not read.
 """
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import saved, table
+from threadmill.llm.common import let, saved, table
 
 NAME = "op4_decontamination"
 WINDOW, LITERALS, COVER = 5, 3, 50
@@ -34,12 +38,15 @@ UNITS = ("kg g mg t km m cm mm l ml h min s ms hours hour minutes minute seconds
          "pounds pound dollars dollar euros euro cents cent percent % € £ $ ° usd eur gbp kmh mph degrees").split()
 _NAME_MARK = "\x01"
 _NAME = r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})\p{Lu}[\p{L}'’]*"
+#: Thai to Lao, Burmese, Khmer, kana and Han: scripts without spaces.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 _TOKEN = r"\x01?\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%€£$°]"
 
 
 def templates(df, id_col, text_col):
     """(id, raw, tpl): tokens, and the template of each."""
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), f"({_NAME})", _NAME_MARK + "$1")
+    text = let(text, lambda t: F.when(t.rlike(f"[{_UNSPACED}]"), F.regexp_replace(t, f"([{_UNSPACED}&&\\p{{L}}]\\p{{M}}*)", " $1 ")).otherwise(t))
     df = df.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("raw"))
     numbered = F.exists("raw", lambda w: w.rlike(r"^\p{N}"))
     plain = lambda w: F.when(w.startswith(_NAME_MARK), "<name>").otherwise(F.lower(w))
@@ -48,17 +55,37 @@ def templates(df, id_col, text_col):
     return df.withColumn("tpl", F.when(numbered, F.transform("raw", full)).otherwise(F.transform("raw", plain)))
 
 
-def windows(df):
-    """(id, n, at, h, slots): its text's tokens, each window's place, hash and slot values (null without slots)."""
+def windows(df, lengths=None):
+    """(id, at, n, h, slots, exact): each window's place, its text's tokens, hash, slot values (null without slots) and
+    whether it stands for its own values only.
+
+    Without lengths a text of fewer than WINDOW tokens is one window of all of them; lengths are those of such windows to
+    find in longer texts.
+    """
     n = F.size("tpl")
     slotted = F.exists("tpl", lambda w: w.startswith("<"))
-    values = lambda i: F.filter(F.slice("raw", i, WINDOW), lambda w, k: F.get(F.col("tpl"), i - 1 + k).startswith("<"))
-    short = n < WINDOW
-    at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    enough = lambda i: F.size(F.filter(F.slice("tpl", i, WINDOW), lambda w: ~w.startswith("<"))) >= F.when(short, 1).otherwise(LITERALS)
-    bare = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("tpl", i, WINDOW)).alias("h"), F.lit(None).cast("array<string>").alias("slots")))
-    rich = F.transform(F.filter(at, enough), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("tpl", i, WINDOW)).alias("h"), values(i).alias("slots")))
-    return df.select("id", n.alias("n"), F.explode(F.when(slotted, rich).otherwise(bare)).alias("w")).select("id", "n", "w.*")
+    literal = lambda i, k: F.size(F.filter(F.slice("tpl", i, k), lambda w: ~w.startswith("<")))
+    values = lambda i, k: F.filter(F.slice("raw", i, k), lambda w, j: F.get(F.col("tpl"), i - 1 + j).startswith("<"))
+    own = lambda i, k: F.transform(F.slice("raw", i, k), lambda w: F.lower(F.translate(w, _NAME_MARK, "")))
+    none = F.lit(None).cast("array<string>")
+    row = lambda i, h, slots, exact: F.struct(i.alias("at"), h.alias("h"), slots.alias("slots"), F.lit(exact).alias("exact"))
+    bare = lambda i, k: row(i, F.xxhash64(F.slice("tpl", i, k)), none, False)
+    rich = lambda i, k: row(i, F.xxhash64(F.slice("tpl", i, k)), values(i, k), False)
+    either = lambda i, k: F.when(literal(i, k) >= LITERALS, rich(i, k)).otherwise(row(i, F.xxhash64(own(i, k)), none, True))
+    empty = F.array().cast("array<struct<at:int,h:bigint,slots:array<string>,exact:boolean>>")
+
+    def of(k):
+        some = (n >= k) if k >= LITERALS else (n == k)
+        at = F.when(some, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(slotted, F.transform(at, lambda i: either(i, F.lit(k)))).otherwise(F.transform(at, lambda i: bare(i, F.lit(k))))
+
+    found = of(WINDOW)
+    for k in range(1, WINDOW) if lengths is None else lengths:
+        found = F.when(n == k, of(k)).otherwise(found) if lengths is None else F.concat(found, of(k))
+    if lengths is None or lengths:
+        whole = (n < WINDOW) & slotted & literal(F.lit(1), n).between(1, LITERALS - 1)
+        found = F.concat(found, F.when(whole, F.array(rich(F.lit(1), n))).otherwise(empty))
+    return df.select("id", n.alias("n"), F.explode(found).alias("w")).select("id", "n", "w.*")
 
 
 def runs(found):
@@ -80,19 +107,23 @@ def runs(found):
 
 def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
     """(id, item_id, cover): the contaminated documents, the item each has most of, and how many per cent."""
-    items = saved(windows(templates(benchmark, item_col, item_text)).select(F.col("id").alias("item_id"), "n", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots")))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n"))
+    items = saved(windows(templates(benchmark, item_col, item_text)).select(F.col("id").alias("item_id"), "n", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "exact"))
+    sizes = items.groupBy("item_id", "item_at").agg(F.bool_or(~F.col("exact")).alias("rich")).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if("rich").alias("n_rich"))
+    lengths = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
     small = items.count() <= BROADCAST_ROWS
-    found = windows(templates(docs, id_col, text_col)).drop("n").join(F.broadcast(items) if small else items, "h")
-    found = saved(found.select("id", "at", "item_id", "item_at", "n", "slots", "item_slots", F.col("slots").eqNullSafe(F.col("item_slots")).alias("verbatim")))
+    found = windows(templates(docs, id_col, text_col), lengths).drop("n", "exact").join(F.broadcast(items) if small else items, "h")
+    found = saved(found.select("id", "at", "item_id", "item_at", "n", "exact", "slots", "item_slots", (F.col("exact") | F.col("slots").eqNullSafe(F.col("item_slots"))).alias("verbatim")))
     found, key = runs(found), ["id", "item_id", "run"]
     pairs = found.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))).alias("p"))
     odd = pairs.groupBy(*key, "p.was").agg((F.min("p.now") < F.max("p.now")).alias("odd")).where("odd").select(*key, "odd").distinct()
     same = (F.col("l.id").eqNullSafe(F.col("r.id"))) & (F.col("l.item_id").eqNullSafe(F.col("r.item_id"))) & (F.col("l.run") == F.col("r.run"))
-    at = found.groupBy(*key, "item_at").agg(F.bool_or("verbatim").alias("verbatim"))
-    counts = at.groupBy(*key).agg(F.count("*").alias("all"), F.count_if("verbatim").alias("same"))
-    counts = counts.alias("l").join(odd.alias("r"), same, "left").select("l.id", "l.item_id", F.when(F.col("r.odd"), F.col("l.same")).otherwise(F.col("l.all")).alias("m"))
-    counts = counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).select("l.id", "l.item_id", (100 * F.col("m") / F.col("n")).alias("cover"))
+    rich = ~F.col("exact")
+    at = found.groupBy(*key, "item_at").agg(F.bool_or("verbatim").alias("same"), F.bool_or(rich).alias("rich"), F.bool_or(F.col("verbatim") & rich).alias("same_rich"))
+    counts = at.groupBy(*key).agg(F.count("*").alias("all"), *[F.count_if(c).alias(c) for c in ("rich", "same", "same_rich")])
+    odd_or = lambda a, b: F.when(F.col("r.odd"), F.col(f"l.{a}")).otherwise(F.col(f"l.{b}"))
+    counts = counts.alias("l").join(odd.alias("r"), same, "left").select("l.id", "l.item_id", odd_or("same", "all").alias("m"), odd_or("same_rich", "rich").alias("m_rich"))
+    part = lambda m, n: F.when(F.col(n) > 0, 100 * F.col(m) / F.col(n))
+    counts = counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).select("l.id", "l.item_id", F.greatest(part("m", "n"), part("m_rich", "n_rich")).alias("cover"))
     best = F.max(F.struct("cover", (-F.col("item_id")).alias("item")))
     return counts.where(F.col("cover") >= COVER).groupBy("id").agg(best.alias("b")).select("id", (-F.col("b.item")).alias("item_id"), "b.cover")
 
