@@ -73,3 +73,13 @@ def test_rows(spark):
     got = op.protect(df).collect()
     assert [r.n_replaced for r in got] == [1, 1, 0] and got[0].text == got[1].text != "a 10.1.2.3"
     assert op.protect(df.limit(0)).count() == 0
+
+
+def test_long_secrets(spark):
+    whole = "".join(f"{i:x}Zq" for i in range(10_000))
+    for n in (8, 64, 512, 513, 800, 20_000):
+        quoted, bare, same = run(spark, [f'see token = "{whole[:n]}" there', f"see password={whole[:n]} there", f'api_key: "{whole[:n]}"'])
+        a, b, c = re.fullmatch('see token = "([0-9a-f]*)" there', quoted), re.fullmatch("see password=([0-9a-f]*) there", bare), re.fullmatch('api_key: "([0-9a-f]*)"', same)
+        assert len(a[1]) == n and a[1] == b[1] == c[1] != whole[:n]
+    late = "a" * 100 + "1"
+    assert run(spark, [f"password={late}"])[0] != f"password={late}"

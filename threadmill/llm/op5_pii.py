@@ -9,7 +9,7 @@ Found and replaced, each within its own format, so that equal values get equal p
 * social security numbers (3-2-4 digits) whose groups are none of 000, 00, 0000, 666, 9xx: the digits are permuted;
 * dates of 1900 to 2099 that exist, as yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy: the day's number is permuted;
 * what numbers can't name: an e-mail's local part becomes a keyed digest, and so does a secret after token, key, secret
-  or password, in its length (quoted, or unquoted with a digit), and the 16 characters of an access key.
+  or password, in its length, whatever that is (quoted, or unquoted with a digit), and the 16 characters of an access key.
 
 The Feistel network alternates between two halves of the digits (or bits, or a date's number): ROUNDS rounds each add a
 SHA-256 of key, kind, length, round and the other half, modulo the half's size. Each round is invertible, so the whole
@@ -31,13 +31,13 @@ NAME = "op5_pii"
 KEY = "threadmill demonstration key"
 ROUNDS = 8
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}["'][A-Za-z0-9_\-+/=.]{8,512}["']"""
+SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|key)\s{0,3}[=:]\s{0,3}["'][A-Za-z0-9_\-+/=.]{8,}+["']"""
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./\-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./\-][0-9])"
 SSN = r"(?<![0-9A-Za-z.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-BARE_SECRET = r"(?<![0-9A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[=:] ?(?=[A-Za-z_\-+/]{0,64}[0-9])[A-Za-z0-9_\-+/=.]{7,511}[A-Za-z0-9_\-+/]"
+BARE_SECRET = r"(?<![0-9A-Za-z])(?i:token|secret|password|passwd|api[_-]?key)[=:] ?(?=[A-Za-z_\-+/]*+[0-9])[A-Za-z0-9_\-+/=.]{7,}[A-Za-z0-9_\-+/]"
 ACCESS_KEY = r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"
 PATTERN = "|".join((SECRET, BARE_SECRET, ACCESS_KEY, EMAIL, PHONE, IP, DATE, SSN, CARD))
 FIRST_DAY, DAYS = "1900-01-01", 73_049
@@ -146,8 +146,10 @@ def pseudonym(m, key=KEY):
     opening = F.regexp_extract(m, "^[A-Za-z_-]+\\s{0,3}[=:]\\s{0,3}[\"']?", 0)
     closing = F.regexp_extract(m, "[\"']?$", 0)
     inner = F.substring(m, F.length(opening) + 1, F.length(m) - F.length(opening) - F.length(closing))
-    keyed = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit(str(i)), inner), 256) for i in range(8)])
-    secret = F.concat(opening, F.substring(keyed, F.lit(1), F.length(inner)), closing)
+    block = lambda i, x: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), i.cast("string"), x), 256)
+    # the first 8 blocks digest the secret, further ones the first block, so that long secrets cost no more than their length
+    keyed = lambda x: let(block(F.lit(0), x), lambda first: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(x) / 64).cast("int")), lambda i: block(i, F.when(i < 8, x).otherwise(first))), ""))
+    secret = F.concat(opening, let(inner, lambda x: F.substring(keyed(x), F.lit(1), F.length(x))), closing)
     access = F.concat(F.substring(m, 1, 4), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("access"), m), 256), 1, 16)))
     return (F.when(m.rlike("^[A-Za-z_-]+\\s{0,3}[=:]"), secret).when(m.rlike(f"^{ACCESS_KEY}$"), access).when(F.contains(m, F.lit("@")), mail).when(m.startswith("+"), phone)
             .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), address(octets)).when(m.rlike(f"^(?:{DATE})$"), date).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn)
