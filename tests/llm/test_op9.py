@@ -31,3 +31,11 @@ def test_fusion(spark):
     assert ("a.com", "en", "de", "de") in got or ("a.com", "en", "en", "de") in got
     assert op.identify(df.limit(0), trained).count() == 0
     assert op.identify(df, op.train(docs.limit(0))).where("language is null").count() == len(rows)
+
+
+def test_long_words_are_scored_whole():
+    assert op.trigrams("ab") == [" ab", "ab "] and all(op.trigrams("x" * n) == [f" {'x' * n} "[i:i + 3] for i in range(n)] for n in (1, 40, 41, 80, 200))
+    rows = [{"lang": "aa", "w": "abc" * 30, "c": 1}, {"lang": "bb", "w": "xyz" * 30, "c": 1}]
+    of = op.Likelihoods(*op.model(rows))
+    said = of("q" * 60 + "xyz" * 20)  # nothing known in its first 40 letters
+    assert said[1] > said[0]

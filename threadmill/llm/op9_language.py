@@ -2,7 +2,7 @@
 
 The text's likelihood is a unigram model of words, with a letter-trigram model of the same words behind it for those it
 doesn't know; it is counted on the SAMPLE labelled documents whose digest of the id is least (a documented bound) and
-keeps the VOCABULARY most frequent (word, language) pairs. A word's evidence is bounded, and a text counts as TEXT_WORDS
+keeps the VOCABULARY most frequent (word, language) pairs. Words are scored whole, in pieces of PIECE letters; a piece's evidence is bounded, and a text counts as TEXT_WORDS
 words at most, since its words aren't independent. The texts' posteriors are then summed, over all rows, by address suffix,
 by host and by declared language; a suffix's rates are shrunk to the global ones, a host's to its suffix's, and a declared
 language counts as an observation with the rate at which it goes with each language. The fused posterior is the product.
@@ -33,6 +33,9 @@ SAMPLE, VOCABULARY, LANGUAGES = 10_000, 40_000, 64
 TEXT_WORDS, WORD_BOUND = 50, 6.0
 #: Pseudo-counts by which suffixes, hosts and declarations are shrunk.
 PSEUDO = 20.0
+#: Letters of a word that are scored as one; longer words, as in scripts without spaces, count as several.
+PIECE = 40
+_PIECES = f"CASE WHEN length(w) <= {PIECE} THEN array(w) ELSE transform(sequence(0, (length(w) - 1) div {PIECE}), k -> substring(w, int(k) * {PIECE} + 1, {PIECE} + 2)) END"
 _MARKS = ".,;:!?\"'()[]{}*#$%&|<>+-=/0123456789"
 
 
@@ -41,7 +44,7 @@ def train(docs, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.lower(F.col(text_col).cast("string")).alias("t")).join(F.broadcast(rows), "_id")
     word = F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    counts = chosen.select("lang", F.explode(word_array(F.col("t"))).alias("w")).select("lang", word.alias("w")).where("w <> '' and length(w) <= 40").groupBy("lang", "w").agg(F.count("*").alias("c"))
+    counts = chosen.select("lang", F.explode(word_array(F.col("t"))).alias("w")).select("lang", word.alias("w")).select("lang", F.explode(F.expr(_PIECES)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("c"))
     return model(counts.orderBy(F.desc("c"), "w", "lang").limit(VOCABULARY).collect())
 
 
@@ -66,9 +69,14 @@ def model(rows):
     return langs, logs(words), logs(grams)
 
 
-def trigrams(word):
+def pieces(word):
+    """The word between blanks, in pieces that share two letters: each trigram is in one of them."""
     padded = f" {word} "
-    return [padded[i:i + 3] for i in range(len(padded) - 2)]
+    return [padded[i:i + PIECE + 2] for i in range(0, max(1, len(word)), PIECE)]
+
+
+def trigrams(word):
+    return [p[i:i + 3] for p in pieces(word) for i in range(len(p) - 2)]
 
 
 def _centred(v):
@@ -112,9 +120,9 @@ class Likelihoods:
     def _by_grams(self, others):
         get, flat, ends = self.grams.get, [], []
         for w in others:
-            p = f" {w[:40]} "
-            flat += [k for k in map(get, map("".join, zip(p, p[1:], p[2:], strict=False))) if k is not None]
-            ends.append(len(flat))
+            for p in pieces(w):
+                flat += [k for k in map(get, map("".join, zip(p, p[1:], p[2:], strict=False))) if k is not None]
+                ends.append(len(flat))
         if not flat:
             return np.zeros(self.n)
         starts = np.array([0, *ends[:-1]])
@@ -127,7 +135,7 @@ class Likelihoods:
         total = self.said[known].sum(axis=0) if known else np.zeros(self.n)
         for i in range(0, len(others), self.MOST_AT_ONCE):
             total = total + self._by_grams(others[i:i + self.MOST_AT_ONCE])
-        return total * min(1.0, TEXT_WORDS / max(1, np.count_nonzero(known) + len(others)))
+        return total * min(1.0, TEXT_WORDS / max(1, np.count_nonzero(known) + sum(max(1, -(-len(w) // PIECE)) for w in others)))
 
 
 def identify(rows, trained, text="text", declared="declared", suffix="suffix", host="host"):
