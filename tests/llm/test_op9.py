@@ -39,3 +39,10 @@ def test_long_words_are_scored_whole():
     of = op.Likelihoods(*op.model(rows))
     said = of("q" * 60 + "xyz" * 20)  # nothing known in its first 40 letters
     assert said[1] > said[0]
+
+
+def test_rare_languages_keep_their_words(spark, monkeypatch):
+    monkeypatch.setattr(op, "VOCABULARY", 5)
+    rows = [(i, "the cat and dog are here", "en") for i in range(20)] + [(20 + i, f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}", f"l{i}") for i in range(70)]
+    langs, words, _ = op.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 71 and {"wortaa", "wortcr", "cat"} <= set(words)

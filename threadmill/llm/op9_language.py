@@ -2,7 +2,7 @@
 
 The text's likelihood is a unigram model of words, with a letter-trigram model of the same words behind it for those it
 doesn't know; it is counted on the SAMPLE labelled documents whose digest of the id is least (a documented bound) and
-keeps the VOCABULARY most frequent (word, language) pairs. Words are scored whole, in pieces of PIECE letters; a piece's evidence is bounded, and a text counts as TEXT_WORDS
+keeps the VOCABULARY most frequent (word, language) pairs and the OWN_WORDS most frequent words of each language, of all languages. Words are scored whole, in pieces of PIECE letters; a piece's evidence is bounded, and a text counts as TEXT_WORDS
 words at most, since its words aren't independent. The texts' posteriors are then summed, over all rows, by address suffix,
 by host and by declared language; a suffix's rates are shrunk to the global ones, a host's to its suffix's, and a declared
 language counts as an observation with the rate at which it goes with each language. The fused posterior is the product.
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadmill.llm.common import saved, small_batches, table, word_array
 
 NAME = "op9_language"
-SAMPLE, VOCABULARY, LANGUAGES = 10_000, 40_000, 64
+SAMPLE, VOCABULARY, OWN_WORDS = 10_000, 40_000, 1_000
 TEXT_WORDS, WORD_BOUND = 50, 6.0
 #: Pseudo-counts by which suffixes, hosts and declarations are shrunk.
 PSEUDO = 20.0
@@ -45,7 +46,11 @@ def train(docs, sample=SAMPLE, id_col="doc_id", text_col="text", lang_col="lang"
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.lower(F.col(text_col).cast("string")).alias("t")).join(F.broadcast(rows), "_id")
     word = F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "")
     counts = chosen.select("lang", F.explode(word_array(F.col("t"))).alias("w")).select("lang", word.alias("w")).select("lang", F.explode(F.expr(_PIECES)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("c"))
-    return model(counts.orderBy(F.desc("c"), "w", "lang").limit(VOCABULARY).collect())
+    counts = saved(counts)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))
+    own = counts.withColumn("_r", rank).where(F.col("_r") <= OWN_WORDS).drop("_r").collect()
+    often = counts.orderBy(F.desc("c"), "w", "lang").limit(VOCABULARY).collect()
+    return model(sorted({(r["lang"], r["w"]): r for r in often + own}.values(), key=lambda r: (-r["c"], r["w"], r["lang"])))
 
 
 def model(rows):
@@ -53,14 +58,14 @@ def model(rows):
     total = Counter()
     for r in rows:
         total[r["lang"]] += r["c"]
-    langs = sorted(x for x, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:LANGUAGES])
+    langs = sorted(total)
+    place = {x: k for k, x in enumerate(langs)}
     words, grams = defaultdict(lambda: np.zeros(len(langs))), defaultdict(lambda: np.zeros(len(langs)))
     for r in rows:
-        if r["lang"] in langs:
-            k = langs.index(r["lang"])
-            words[r["w"]][k] += r["c"]
-            for g in trigrams(r["w"]):
-                grams[g][k] += math.sqrt(r["c"])
+        k = place[r["lang"]]
+        words[r["w"]][k] += r["c"]
+        for g in trigrams(r["w"]):
+            grams[g][k] += math.sqrt(r["c"])
 
     def logs(table):
         n = sum(table.values(), np.zeros(len(langs)))
@@ -146,7 +151,7 @@ def identify(rows, trained, text="text", declared="declared", suffix="suffix", h
         return rows.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "text_language": F.lit(None).cast("string")})
     small_batches(rows.sparkSession)
     n = len(langs)
-    sent = rows.sparkSession.sparkContext.broadcast(Likelihoods(langs, words, grams))  # bounded by VOCABULARY
+    sent = rows.sparkSession.sparkContext.broadcast(Likelihoods(langs, words, grams))  # bounded by VOCABULARY and OWN_WORDS
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
