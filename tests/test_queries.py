@@ -40,3 +40,20 @@ def test_unique_ids_against_a_loop(spark):
             want, n = f"{r.base}_{n}", n + 1
         used.add(want)
         assert r.thread_id == want
+
+
+def test_mojibake_of_all_documents_against_a_loop(spark):
+    def repair(t):
+        if t is None or not set(t) & set("ÄÅÃ"):
+            return t
+        try:
+            return t.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return t
+
+    texts = {r.doc_id: r.text for r in q.table(spark, SF, "documents").collect()}
+    got = q.mojibake_all(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.kept == repair(t) and r.repaired == (None if t is None else repair(t.encode("utf-8").decode("latin-1")))

@@ -242,6 +242,15 @@ def mojibake_roundtrip(spark, sf_dir):
     return t.select("doc_id", text.fix_mojibake(broken).alias("repaired"))
 
 
+def mojibake_all(spark, sf_dir):
+    """Every document's text as it is and double-encoded, both repaired; null texts stay null."""
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return table(spark, sf_dir, "documents").select("doc_id", text.fix_mojibake("text").alias("kept"), text.fix_mojibake(broken).alias("repaired"))
+
+
+QUERIES["mojibake_all"] = mojibake_all  # all documents, where mojibake_roundtrip has those that its SQL selects: compared with a loop in the tests
+
+
 @query("""WITH b AS (SELECT vec_id, list_sum(list_transform(range(0, 62), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END))::BIGINT AS h FROM embeddings)
     SELECT a.vec_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance, lower(lpad(printf('%X', a.h), 16, '0')) AS hash FROM b AS a JOIN b ON b.vec_id = a.vec_id + 1""")
 def hamming_pairs(spark, sf_dir):
