@@ -105,3 +105,10 @@ def test_cli(spark, root, tmp_path, capsys):
     assert cli.main(["archive", "--input", str(root), "--out", str(out), "--dry-run"]) == 0
     assert "DIR" in capsys.readouterr().out
     assert cli.main(["slice", "--input", str(root / "y"), "--out", str(out)]) == 3
+
+
+def test_dry_run_lists_all_inputs(spark, root, tmp_path, capsys):
+    put(tmp_path, "z/message_1.json", 2)
+    assert cli.main(["archive", "--input", str(root), str(tmp_path), "--out", str(tmp_path / "out"), "--dry-run"]) == 0
+    listed = capsys.readouterr().out.split("\n")
+    assert [x.rsplit("/", 1)[-1] for x in listed if x.startswith("DIR")] == ["x", "y", "z"]

@@ -8,9 +8,11 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import datetime as dt
+import functools
 import json
 import sys
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.images import slicer
@@ -94,7 +96,8 @@ def archive(args) -> int:
         print(incremental.stats_of(spark, store).first().asDict())
         return 0
     if args.dry_run:
-        rows = discover(list_files(spark, args.input[0])).select("standalone", "thread_key").distinct().orderBy("standalone", "thread_key")
+        files = functools.reduce(DataFrame.unionByName, [list_files(spark, p, p, seq) for seq, p in enumerate(args.input)])
+        rows = discover(files).select("source_seq", "standalone", "thread_key").distinct().orderBy("source_seq", "standalone", "thread_key")
         for r in (rows.limit(args.limit) if args.limit else rows).toLocalIterator():
             print("FILE" if r.standalone else "DIR ", r.thread_key)
         return 0
