@@ -31,8 +31,10 @@ NAME = "op10_bpe"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts are cut into pieces of about so many characters.
 PIECE_CHARS = 1 << 16
-_CUT = re.compile(r"(?<=\S)(?=\s)")
-_RUN = re.compile(r"(?<!\s)[ \t\n\r\x0b\x0c]{4096,}(?!\s)")
+#: White space as the library's pattern knows it; Python's \\s also has four separators, which it counts as marks.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+_RUN = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{4096,}}(?![{_WHITE}])")
 
 
 @functools.lru_cache(maxsize=4)
