@@ -47,3 +47,11 @@ def let(expr, body):
 def word_array(text):
     """The words of a text: runs of anything but SPACE; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: _name, with more underscores as needed."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
