@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.session import saved
+from threadmill.session import free_name, saved
 
 
 def with_place(df: DataFrame, *order, name: str = "place") -> DataFrame:
@@ -14,12 +14,13 @@ def with_place(df: DataFrame, *order, name: str = "place") -> DataFrame:
     Rows are dealt into ranges and sorted there; monotonically_increasing_id then has the range in its upper and the place
     within it in its lower bits. Only one count a range is gathered. The ranges are sampled, so they are fixed by a checkpoint.
     """
-    ranged = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    parts = ranged.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
-    offsets = F.broadcast(parts.select("_p", before.alias("_o")))  # a row for each partition
-    placed = ranged.withColumn("_p", F.shiftright("_id", 33)).join(offsets, "_p")
-    return placed.withColumn(name, F.col("_o") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_p", "_o")
+    row, part, count, offset = (free_name(df, x) for x in ("row", "part", "count", "offset"))
+    ranged = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()))
+    parts = ranged.groupBy(F.shiftright(row, 33).alias(part)).agg(F.count("*").alias(count))
+    before = F.sum(count).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(count)
+    offsets = F.broadcast(parts.select(part, before.alias(offset)))  # a row for each partition
+    placed = ranged.withColumn(part, F.shiftright(row, 33)).join(offsets, part)
+    return placed.withColumn(name, F.col(offset) + F.col(row).bitwiseAND(F.lit((1 << 33) - 1))).drop(row, part, offset)
 
 
 def batches(df: DataFrame, *order, size: int) -> DataFrame:

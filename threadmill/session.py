@@ -31,3 +31,11 @@ def saved(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage by a checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: _name, with more underscores as needed."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
