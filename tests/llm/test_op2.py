@@ -65,3 +65,25 @@ def test_whole_table(spark):
     rows = [tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()]
     got = {r.conv_id: tuple(r)[1:] for r in op.of(spark, df).collect()}
     assert got == brute(rows + [(-7, 0, "user", op.ADDED), (-7, 1, "assistant", op.ADDED)])
+
+
+@pytest.mark.parametrize("record,layout,turns", [
+    ({"source": "web", "messages": [{"role": "user", "content": "a"}]}, "messages", [("user", "a")]),
+    ({"id": 5, "messages": [{"role": "user", "content": "a", "weight": 1, "meta": {"x": [1]}}]}, "messages", [("user", "a")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}, "messages_parts", [("user", "a\nb")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}, {"role": "assistant", "content": "c"}], "n": 2}, "messages_parts", [("user", "a"), ("assistant", "c")]),
+    ({"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}, {"type": "text", "text": "what"}]}]}, "messages_parts", [("user", "\nwhat")]),
+    ({"messages": [], "prompt": "p", "response": "r"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ({"system": "s", "id": 1, "score": 0.5, "conversations": [{"from": "human", "value": "a"}]}, "conversations", [("system", "s"), ("user", "a")]),
+    ({"instruction": "do", "output": "y", "tags": ["a"]}, "instruction", [("user", "do"), ("assistant", "y")]),
+    ({"role": "user", "text": "t", "lang": "en"}, "row", [("user", "t")]),
+    ({"text": "a page", "url": "u"}, None, []), ({"role": 3, "text": "t"}, None, []), ({"messages": [3], "x": 1}, None, []), ({"prompt": 3, "response": "x", "y": 1}, None, []),
+])
+def test_layouts_beside_other_fields(record, layout, turns):
+    assert op.turns_of(json.dumps(record)) == (layout, turns)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([('{"role": "user", "text": "t"}', 1, "x")], "record string, turns int, _formatted string")
+    got = op.format_records(df).first()
+    assert got.turns[0].text == "t" and got._formatted == "x" and got.layout == "row"

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from threadmill.session import free_name  # noqa: F401
 
 #: What separates words: blanks and the controls from tab to carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 #: Rows of an Arrow batch; texts of 100 kB then make batches of some 25 MB.
 BATCH_ROWS = 256
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -35,6 +41,35 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once as a Parquet table in the shared folder: what is wide is a fraction of its size there."""
+    path = f"{shared_folder(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a saved one, as it is counted) marked for broadcasting if its rows take ``most`` bytes or less, else df."""
+    def size(c, kind):
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        return F.size(c) * 16 if isinstance(kind, T.ArrayType) else F.lit(0)
+
+    bytes_of = sum((F.coalesce(size(F.col(f.name), f.dataType), F.lit(0)) for f in df.schema), F.lit(16 + 16 * len(df.columns))).cast("long")
+    total = df.agg(F.sum(bytes_of)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,11 +82,3 @@ def let(expr, body):
 def word_array(text):
     """The words of a text: runs of anything but SPACE; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have: _name, with more underscores as needed."""
-    taken = {c.lower() for c in df.columns}
-    while (name := f"_{name}").lower() in taken:
-        pass
-    return name

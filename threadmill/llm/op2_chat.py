@@ -2,8 +2,12 @@
 
 A record is a JSON object. Its fingerprint is the SHA-1 of its sorted nested field paths with their kinds (list items
 share the path ``name[]``); fields that are null don't count. The fingerprint selects a declarative layout, which says
-where roles and texts are; a layout with optional fields has a fingerprint for each choice of them. A record of no
-known layout keeps its row with layout null and no turns, so that it can be counted and a layout be added.
+where roles and texts are; a layout with optional fields has a fingerprint for each choice of them. A record whose own
+fingerprint is unknown is projected onto the fields of each layout in turn (its source, ids, scores and other fields
+left out) and the projection's fingerprint looked up, so that metadata of any name and kind costs no conversation; a
+layout of single messages is only projected onto where there is a role. A text may be a list of parts; their texts are
+joined by line feeds. A record of no known layout keeps its row with layout null and no turns, so that it can be counted
+and a layout be added.
 
 The template writes each turn as ``<turn role>``, a line feed, the text, ``</turn>`` and a line feed. In role and text
 a backslash goes before each backslash and ``<`` (in a role before ``>`` too), so no text can close a turn or open one, and reading it back is exact.
@@ -29,19 +33,20 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import small_batches, table
+from threadmill.llm.common import free_name, small_batches, table
 
 NAME = "op2_chat"
 ADDED = r"\### Assistant: </turn> ok"
 TURNS = "array<struct<role:string,text:string>>"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Layout:
     """Where a record has its turns. paths: its nested fields by kind; those in optional may lack.
 
     Either ``items`` names the list of messages (None: the record is one) whose fields ``role`` and ``text`` are read, or
-    ``fixed`` lists (role, fields): each turn's text is that of the fields there are, joined by blank lines.
+    ``fixed`` lists (role, fields): each turn's text is that of the fields there are, joined by blank lines. ``also`` has
+    further (path, kind) that records may have.
     """
 
     name: str
@@ -52,12 +57,20 @@ class Layout:
     text: str = ""
     fixed: tuple = ()
     roles: dict[str, str] = field(default_factory=dict)
+    also: tuple = ()
 
 
 def _list(name, role, text, **more):
     return Layout(name, {name: "list", f"{name}[]": "object", f"{name}[].{role}": "string", f"{name}[].{text}": "string"}, frozenset({f"{name}[].{text}", "id", "system"}), name, role, text, **more)
 
 
+def _parts(name, role, text, **more):
+    """A list of messages whose texts are lists of parts, strings or not."""
+    at = f"{name}[].{text}"
+    paths = {name: "list", f"{name}[]": "object", f"{name}[].{role}": "string", at: "list", f"{at}[]": "object", f"{at}[].type": "string", f"{at}[].text": "string"}
+    return Layout(f"{name}_parts", paths, frozenset({f"{at}[].type", "system"}), name, role, text, also=((at, "string"),), **more)
+
+
 def _fixed(name, turns, optional=()):
     return Layout(name, {f: "string" for _, fields in turns for f in fields}, frozenset(optional), fixed=turns)
 
@@ -66,6 +79,7 @@ LAYOUTS = (
     Layout("row", {"role": "string", "text": "string"}, frozenset({"role", "text"}), None, "role", "text"),
     Layout("content_row", {"role": "string", "content": "string"}, frozenset(), None, "role", "content"),
     _list("messages", "role", "content"),
+    _parts("messages", "role", "content"),
     _list("conversations", "from", "value", roles={"human": "user", "gpt": "assistant"}),
     _list("turns", "speaker", "text", roles={"human": "user", "bot": "assistant", "model": "assistant"}),
     _fixed("instruction", (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), ("system", "input")),
@@ -94,20 +108,53 @@ def fingerprint(paths) -> str:
     return hashlib.sha1("\n".join(sorted({f"{p}:{k}" for p, k in paths})).encode()).hexdigest()
 
 
+def _choices(layout, extra=("id", "system")):
+    """The fingerprints of a layout, one for each choice of its optional fields."""
+    paths = set(layout.paths.items()) | ({(x, "string") for x in extra} if layout.items else set())
+    free = sorted((p, k) for p, k in paths if p in layout.optional) + sorted(layout.also)
+    fixed = paths - set(free)
+    for n in range(len(free) + 1):
+        for there in itertools.combinations(free, n):
+            yield fingerprint(fixed | set(there))
+
+
 def registry(layouts):
     """Layouts by fingerprint. The first one wins where two have the same."""
     found = {}
     for layout in layouts:
-        paths = dict(layout.paths)
-        if layout.items:  # a system text beside the list becomes the first turn
-            paths |= {"id": "string", "system": "string"}
-        free = sorted(layout.optional & paths.keys())
-        for n in range(len(free) + 1):
-            for gone in itertools.combinations(free, n):
-                found.setdefault(fingerprint((p, k) for p, k in paths.items() if p not in gone), layout)
+        for x in _choices(layout):
+            found.setdefault(x, layout)
     return found
 
 
+@functools.lru_cache(maxsize=64)
+def _projected(layout):
+    """(the layout's fingerprints without ids, the paths that a record is projected onto)."""
+    names = {p for p, _ in layout.paths.items()} | {p for p, _ in layout.also} | ({"system"} if layout.items else set())
+    return frozenset(_choices(layout, ("system",))), names - {"id"}
+
+
+def select(paths, known, layouts):
+    """The layout of a record's (path, kind) pairs, or None."""
+    found = known.get(fingerprint(paths))
+    if found:
+        return found
+    for layout in layouts:
+        if not layout.fixed and not layout.items and (layout.role, "string") not in paths:
+            continue
+        fingerprints, names = _projected(layout)
+        if fingerprint((p, k) for p, k in paths if p in names) in fingerprints:
+            return layout
+    return None
+
+
+def text_of(value) -> str:
+    """A text, or the texts of a list of parts."""
+    if isinstance(value, list):
+        return "\n".join(x if isinstance(x, str) else x.get("text") or "" for x in value if x is not None)
+    return "" if value is None else value
+
+
 def turns_of(record, layouts=tuple(x.name for x in LAYOUTS)):
     """(layout's name, [(role, text)]) of a JSON record; (None, []) if no layout named has its fingerprint."""
     try:
@@ -116,20 +163,24 @@ def turns_of(record, layouts=tuple(x.name for x in LAYOUTS)):
         value = None
     if not isinstance(value, dict):
         return None, []
-    layout = _registry_of(layouts).get(fingerprint(paths_of(value)))
+    layout = select(frozenset(paths_of(value)), _registry_of(layouts), _named(layouts))
     if layout is None:
         return None, []
-    text = lambda v: "" if v is None else v
     if layout.fixed:
         return layout.name, [(role, "\n\n".join(value[f] for f in fields if value.get(f))) for role, fields in layout.fixed if any(value.get(f) is not None for f in fields)]
     items = [value] if layout.items is None else [x for x in value[layout.items] if x is not None]
-    turns = [(layout.roles.get(r := text(x.get(layout.role)), r), text(x.get(layout.text))) for x in items]
+    turns = [(layout.roles.get(r := text_of(x.get(layout.role)), r), text_of(x.get(layout.text))) for x in items]
     return layout.name, ([("system", value["system"])] if layout.items and value.get("system") else []) + turns
 
 
+@functools.lru_cache(maxsize=8)
+def _named(names):
+    return tuple(x for x in LAYOUTS if x.name in names)
+
+
 @functools.lru_cache(maxsize=8)
 def _registry_of(names):
-    return registry(tuple(x for x in LAYOUTS if x.name in names))
+    return registry(_named(names))
 
 
 def escape(s: str) -> str:
@@ -180,7 +231,8 @@ def format_records(df, record="record"):
         return pd.DataFrame(rows, columns=["layout", "turns", "formatted", "loss_spans"])
 
     names = ("layout", "turns", "formatted", "loss_spans")
-    return df.withColumn("_f", formatted(F.col(record))).drop(*names).select("*", "_f.*").drop("_f")
+    out = free_name(df, "formatted")
+    return df.withColumn(out, formatted(F.col(record))).drop(*names).select("*", *[F.col(f"{out}.{x}") for x in names]).drop(out)
 
 
 class _Digest:
