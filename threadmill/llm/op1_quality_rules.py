@@ -6,26 +6,27 @@ Rules of a line (a blank line always stays):
 * punctuation: more than SYMBOL_SHARE of its characters are of ``#*$%&|<>``, or it has a doubled or mixed ``!``/``?``
   for every second word or more, or it has over LONG_LINE words and no sentence punctuation at all;
 * navigation: NAV_BARS or more bars or arrows that separate items;
-* boilerplate: a cookie, script, rights, newsletter or login phrase, in a line of at most BOILERPLATE_WORDS words.
+* boilerplate: a cookie, script, rights, newsletter or login phrase, in a line of at most BOILERPLATE_WORDS words and
+  fewer than BOILERPLATE_CHARS characters: longer lines are prose that mentions such a phrase. The phrases are English.
 
 Equal five-word windows are found by 64-bit hashes within one text; there the chance of a false pair is below 1e-10.
 
 Edge cases: null and empty texts have no words, so base_failed; texts of one very long line or word are handled whole;
-ties and equal rows give equal results; an empty table gives no rows; further columns pass through ``clean`` unless
-they have a name of its outputs, which replace them.
+ties and equal rows give equal results; an empty table gives no rows; further columns, whatever their names, pass
+through ``clean``, and its outputs replace columns of their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import SPACE, let, table, word_array
+from threadmill.llm.common import SPACE, free_name, let, table, word_array
 
 NAME = "op1_quality_rules"
 SYMBOLS = "#*$%&|<>"
 #: Shares in per cent.
 SYMBOL_SHARE, MOST_LOST = 8, 50
-LONG_LINE, NAV_BARS, BOILERPLATE_WORDS = 60, 3, 30
+LONG_LINE, NAV_BARS, BOILERPLATE_WORDS, BOILERPLATE_CHARS = 60, 3, 30, 400
 WINDOW = 5
 BOILERPLATE = (
     "(?i)(accept (all )?cookies|use[sd]? cookies|enable javascript|javascript is (disabled|required)|all rights reserved|terms of (use|service)"
@@ -48,7 +49,7 @@ def line_fails(line):
     shouting = line.rlike("[!?]{2}") & (2 * F.regexp_count(line, F.lit("[!?]{2,}")) >= words)
     endless = (F.length(line) > 2 * LONG_LINE) & ~line.rlike("[.!?;:。！？…]") & (words > LONG_LINE)
     bars = line.rlike("[|»›→]") & (F.regexp_count(line, F.lit(f"(?:^|[{SPACE}])[|»›→](?=[{SPACE}]|$)")) >= NAV_BARS)
-    boiler = (F.length(line) < 400) & line.rlike(BOILERPLATE) & (words <= BOILERPLATE_WORDS)
+    boiler = (F.length(line) < BOILERPLATE_CHARS) & line.rlike(BOILERPLATE) & (words <= BOILERPLATE_WORDS)
     return line.rlike(f"[^{SPACE}]") & (noisy | shouting | endless | bars | boiler)
 
 
@@ -64,27 +65,28 @@ def repeated_words(hashes):
 
 def clean(df, text="text"):
     """df with the base counts, base_failed, lost_chars, kept and cleaned (the text of the lines that stay)."""
-    df = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    df = df.withColumns({"_w": word_array(F.col("_t")), "_l": F.split("_t", "\n")})
-    n = F.size("_w")
+    t, w, lines, hashes, judged, full = (free_name(df, x) for x in ("text", "words", "lines", "hashes", "judged", "full"))
+    df = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    df = df.withColumns({w: word_array(F.col(t)), lines: F.split(t, "\n")})
+    n = F.size(w)
     df = df.withColumns({
         "n_words": n.cast("long"),
-        "_h": F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
-        "_v": F.transform("_l", lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))),
-        "_lw": F.filter("_l", lambda x: x.rlike(f"[^{SPACE}]")),
+        hashes: F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col(w), i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
+        judged: F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))),
+        full: F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]")),
     })
-    lost = F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], F.length(x["line"])).otherwise(0))
+    lost = F.aggregate(judged, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], F.length(x["line"])).otherwise(0))
     df = df.withColumns({
-        "word_chars": F.length(_removed(F.col("_t"), " \t\n\x0b\x0c\r")).cast("long"),
-        "n_symbols": F.when(F.col("_t").rlike(f"[{SYMBOLS}]"), F.length("_t") - F.length(_removed(F.col("_t"), SYMBOLS))).otherwise(0).cast("long"),
-        "n_dup_lines": (F.size("_lw") - F.size(F.array_distinct("_lw"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_h")),
+        "word_chars": F.length(_removed(F.col(t), " \t\n\x0b\x0c\r")).cast("long"),
+        "n_symbols": F.when(F.col(t).rlike(f"[{SYMBOLS}]"), F.length(t) - F.length(_removed(F.col(t), SYMBOLS))).otherwise(0).cast("long"),
+        "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(hashes)),
         "lost_chars": lost,
     })
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.length("_t")))
-    cleaned = F.array_join(F.transform(F.filter("_v", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    return df.withColumn("cleaned", cleaned).drop("_t", "_w", "_l", "_h", "_v", "_lw")
+    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MOST_LOST * F.length(t)))
+    cleaned = F.array_join(F.transform(F.filter(judged, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    return df.withColumn("cleaned", cleaned).drop(t, w, lines, hashes, judged, full)
 
 
 def query(spark, sf_dir):
