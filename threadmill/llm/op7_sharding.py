@@ -4,58 +4,45 @@ Rows are shuffled by a seeded digest of their id and ranked within their source;
 fractional rank (2r - 1) / 2n. In the order of fractional ranks every stretch holds the sources in their overall
 proportions, so the order is cut into shards whose row counts differ by one at most (law ``rows``).
 
-Neither ranking gathers a source in a task: the digest's leading bits (then the fractional rank itself) deal rows to
-buckets of bounded size, buckets are counted and summed up, and a row's rank is its bucket's offset plus its place in
-the bucket. The text is read once and doesn't travel.
+Neither ranking gathers a source, a rank or equal rows in a task: rows are dealt into ranges of (source, digest, ...), then
+of (fractional rank, source, rank), both made unique by the row's number in the saved input; a row's place is the count of
+the ranges before plus its place in its range. The text is read once and doesn't travel.
 
 Edge cases: a null source is a source of its own; a null text has size 16 and CRC 0; equal rows (even of one id) each
-get a slot of their own; a null id sorts first; an empty table gives no rows; further columns are not read.
+get a slot of their own; null ids have one digest and are told apart by the row's number; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import saved, table
+from threadmill.llm.common import free_name, saved, small, table
+from threadmill.operators.ranks import with_place
 
 NAME = "op7_sharding"
 SHARDS, SEED = 40, "threadmill"
-#: Rows of a bucket, about; and the least number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 #: The leading digits of the digest taken as a number, in bits.
 BITS = 60
 
 
 def interleave(df, id_col="doc_id", source_col="source", shards=SHARDS, seed=SEED):
-    """df's columns plus shard (int) and slot (long, gapless from 0 in each shard)."""
-    df = df.withColumns({
-        "_h": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), 1, BITS // 4), 16, 10).cast("long"),
-    })
-    total = df.count()
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ROWS))
-    # the top 30 bits of the digest times the number of buckets; it rises with the digest
-    df = df.withColumns({
-        "_b": F.shiftright(F.shiftright("_h", BITS - 30) * F.lit(buckets).cast("long"), 30),
-        "_s": F.to_json(F.struct(F.col(source_col))),
-    })
-    by_source = Window.partitionBy("_s")
-    offsets = df.groupBy("_s", "_b").agg(F.count("*").alias("_c")).select(
-        "_s", "_b",
-        (F.sum("_c").over(by_source.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_o"),
-        F.sum("_c").over(by_source).alias("_n"))
-    ties = [c for c in df.columns if not c.startswith("_")]
-    rank = F.col("_o") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", id_col, *[c for c in ties if c != id_col]))
-    ranked = saved(df.join(offsets, ["_s", "_b"]).withColumn("_r", rank)
-                   .withColumn("_f", (2 * F.col("_r") - 1) / (2 * F.col("_n")).cast("double")).drop("_o", "_b", "_n"))
-    ranked = ranked.withColumn("_b", F.least(F.floor(F.col("_f") * buckets), F.lit(buckets - 1)))
-    starts = ranked.groupBy("_b").agg(F.count("*").alias("_c")).select(
-        "_b", (F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_o"))
-    place = F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy("_f", "_s", "_r")) - 1
-    return (ranked.join(starts, "_b").withColumn("_g", place)
-            .withColumn("_k", F.expr(f"(_g * {shards}L) div {max(total, 1)}L"))
-            .withColumn("slot", F.col("_g") - F.expr(f"(_k * {max(total, 1)}L + {shards - 1}L) div {shards}L"))
-            .withColumn("shard", F.col("_k").cast("int")).select(*ties, "shard", "slot"))
+    """df's columns (shard and slot excepted) plus shard (int) and slot (long, gapless from 0 in each shard)."""
+    df = df.drop("shard", "slot")
+    columns = df.columns
+    digest, source, row, place, n, first, part, shard = (free_name(df, x) for x in ("digest", "source", "row", "place", "n", "first", "part", "shard"))
+    df = saved(df.withColumns({
+        digest: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), 1, BITS // 4), 16, 10).cast("long"),
+        source: F.to_json(F.struct(F.col(source_col).alias("source"))), row: F.monotonically_increasing_id()}))
+    total = max(1, df.count())
+    placed = with_place(df, source, digest, id_col, row, name=place)
+    sources = saved(placed.groupBy(source).agg(F.count("*").alias(n), F.min(place).alias(first)))
+    rank = F.col(place) - F.col(first) + 1
+    ranked = placed.join(small(sources), source).withColumns({place: rank, part: (2 * rank - 1) / (2 * F.col(n)).cast("double")})
+    ranked = saved(ranked.select(*columns, source, place, part))
+    cut = with_place(ranked, part, source, place, name=first)
+    cut = cut.withColumn(shard, F.expr(f"(`{first}` * {shards}L) div {total}L"))
+    slot = F.col(first) - F.expr(f"(`{shard}` * {total}L + {shards - 1}L) div {shards}L")
+    return cut.select(*columns, F.col(shard).cast("int").alias("shard"), slot.alias("slot"))
 
 
 def query(spark, sf_dir):
