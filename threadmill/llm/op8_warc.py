@@ -6,7 +6,7 @@ only a record that passes them has its payload decoded; option ``payload=false``
 whose extra field ``sl`` has the compressed length, so that unwanted ones are stepped over, not inflated; members without
 it and plain files are read too.
 
-Writing puts part files of unique names beside the target and moves them there at commit, so tasks that are lost and run
+Writing puts part files of unique names into a folder of that write beside the target and moves them there at commit, so tasks that are lost and run
 again leave nothing behind. Files are opened by pyarrow's file systems (local paths, file:, hdfs:, s3:, gs:).
 
 ``archive`` writes a record for each page: of equal payloads of LEAST_SHARED bytes or more the one with the smallest id is
@@ -27,11 +27,12 @@ import posixpath
 import struct
 import uuid
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from threadmill.llm.common import shared_dir, small_batches, table
+from threadmill.llm.common import shared_folder, small_batches, table
 
 NAME = "op8_warc"
 LEAST_SHARED = 100
@@ -213,17 +214,18 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     def __init__(self, options, overwrite):
         self.path, self.overwrite, self.roll = options["path"], overwrite, int(options.get("roll_bytes", ROLL_BYTES))
+        self.parts = f"_parts-{uuid.uuid4().hex}"  # a folder for each write, so that writers to one path don't meet
 
     def write(self, rows):
         system, root = file_system(self.path)
         files, out, n = [], None, 0
-        system.create_dir(f"{root}/_parts", recursive=True)
+        system.create_dir(f"{root}/{self.parts}", recursive=True)
         try:
             for row in rows:
                 record = {c: row[c] for c in WRITE}
                 if out is None:
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, n = system.open_output_stream(f"{root}/_parts/{files[-1]}", compression=None), 0
+                    out, n = system.open_output_stream(f"{root}/{self.parts}/{files[-1]}", compression=None), 0
                 raw = member(record | {"payload": bytes(record["payload"] or b"")})
                 out.write(raw)
                 n += len(raw)
@@ -242,18 +244,16 @@ class WarcWriter(DataSourceWriter):
             for x in WarcReader({"path": self.path}).partitions():
                 if x.path:
                     system.delete_file(x.path)
-        for m in messages:
-            for name in m.files if m else ():
-                system.move(f"{root}/_parts/{name}", f"{root}/{name}")
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda name: system.move(f"{root}/{self.parts}/{name}", f"{root}/{name}"), [x for m in messages if m for x in m.files]))
         self._drop_parts(system, root)
 
     def abort(self, messages):
         self._drop_parts(*file_system(self.path))
 
-    @staticmethod
-    def _drop_parts(system, root):
+    def _drop_parts(self, system, root):
         with contextlib.suppress(FileNotFoundError):
-            system.delete_dir(f"{root}/_parts")
+            system.delete_dir(f"{root}/{self.parts}")
 
 
 class WarcSource(DataSource):
@@ -301,7 +301,7 @@ def query(spark, sf_dir):
 
 def of(spark, pages):
     small_batches(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark, 'warc')}/archive"
     archive(pages, path)
     back = spark.read.format("warc").load(path)
     number = lambda c: F.nullif(F.substring_index(F.col(c), ":", -1), F.lit("")).cast("long")
