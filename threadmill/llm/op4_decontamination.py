@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import let, saved, table
+from threadmill.llm.common import free_name, let, saved, table
 
 NAME = "op4_decontamination"
 WINDOW, LITERALS, COVER = 5, 3, 50
@@ -124,17 +124,18 @@ def contaminated(docs, benchmark, id_col="doc_id", text_col="text", item_col="it
     counts = counts.alias("l").join(odd.alias("r"), same, "left").select("l.id", "l.item_id", odd_or("same", "all").alias("m"), odd_or("same_rich", "rich").alias("m_rich"))
     part = lambda m, n: F.when(F.col(n) > 0, 100 * F.col(m) / F.col(n))
     counts = counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).select("l.id", "l.item_id", F.greatest(part("m", "n"), part("m_rich", "n_rich")).alias("cover"))
-    best = F.max(F.struct("cover", (-F.col("item_id")).alias("item")))
-    return counts.where(F.col("cover") >= COVER).groupBy("id").agg(best.alias("b")).select("id", (-F.col("b.item")).alias("item_id"), "b.cover")
+    best = F.min(F.struct((-F.col("cover")).alias("less"), "item_id"))
+    return counts.where(F.col("cover") >= COVER).groupBy("id").agg(best.alias("b")).select("id", "b.item_id", (-F.col("b.less")).alias("cover"))
 
 
 def decontaminate(docs, benchmark, id_col="doc_id"):
     """docs plus contaminated (boolean), bench_item and cover (null where clean)."""
-    bad = saved(contaminated(docs, benchmark, id_col)).select(F.col("id").alias("_id"), F.col("item_id").alias("bench_item"), "cover")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_BAD else bad
     docs = docs.drop("contaminated", "bench_item", "cover")
-    out = docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("cover") > 0), "left")
-    return out.withColumn("contaminated", F.col("cover").isNotNull()).drop("_id")
+    key = free_name(docs, "id")
+    bad = saved(contaminated(docs, benchmark, id_col)).select(F.col("id").alias(key), F.col("item_id").alias("bench_item"), "cover")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_BAD else bad
+    out = docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (F.col("cover") > 0), "left")
+    return out.withColumn("contaminated", F.col("cover").isNotNull()).drop(key)
 
 
 def query(spark, sf_dir):
