@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -44,3 +47,60 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (7, None)], "doc_id long, quality int")
     assert op.classify(docs, labels).count() == 4
     assert op.classify(docs.limit(0), labels).count() == 0
+
+
+def pseudo(groups):
+    """(rows, rate, prior) of groups -> pseudo-counts by the method of moments."""
+    n = sum(g[0] for g in groups)
+    v = sum(g[0] * g[2] * (1 - g[2]) for g in groups)
+    if not n or len(groups) < 2 or not v:
+        return op.MOST_PSEUDO
+    between = (sum(g[0] * (g[1] - g[2]) ** 2 for g in groups) - (len(groups) - 1) * v / n) / max(1e-9, n - sum(g[0] ** 2 for g in groups) / n)
+    return min(op.MOST_PSEUDO, max(op.LEAST_PSEUDO, v / n / between - 1)) if between > 0 else op.MOST_PSEUDO
+
+
+def brute(rows, weights, prior):
+    """doc_id -> (posterior, kept) of (doc_id, text, source, lang), by loops over rows."""
+    evidence = [min(30, max(-30, round(sum(a * b for a, b in zip(op.features(t), weights, strict=True)) - prior, 6))) for _, t, _, _ in rows]
+    by_path, by_host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (_, _, s, g), e in zip(rows, evidence, strict=True):
+        x = math.floor(1_000_000 / (1 + math.exp(-(e + prior))) + 0.5)
+        for sums in (by_path[s, g], by_host[s]):
+            sums[0] += x
+            sums[1] += 1
+    overall = min(0.999, max(0.001, sum(x for x, _ in by_host.values()) / 1e6 / len(rows)))
+    kh = pseudo([(n, x / 1e6 / n, overall) for x, n in by_host.values()])
+    host = {k: (x / 1e6 + kh * overall) / (n + kh) for k, (x, n) in by_host.items()}
+    kp = pseudo([(n, x / 1e6 / n, host[k[0]]) for k, (x, n) in by_path.items()])
+    path = {k: (x / 1e6 + kp * host[k[0]]) / (n + kp) for k, (x, n) in by_path.items()}
+    out = {}
+    for (d, _, s, g), e in zip(rows, evidence, strict=True):
+        p = min(0.999, max(0.001, path[s, g]))
+        out[d] = 1 / (1 + math.exp(-(e + math.log(p / (1 - p)))))
+    return out
+
+
+def test_query_against_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, prior = op.train(docs, labels)
+    want = brute([(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()], weights.tolist(), prior)
+    got = op.query(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r.posterior - want[r.doc_id]) < 2e-6 and (r.kept == (want[r.doc_id] >= op.KEEP) or abs(want[r.doc_id] - op.KEEP) < 2e-6)
+
+
+def test_columns_of_clashing_names_stay(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'h' as _host", "1 as _path", "doc_id as kept", "7 as evidence")
+    kept = op.stage(spark, docs, sf)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all((r._host, r._path, r.kept, r.evidence) == ("h", 1, r.doc_id, 7) for r in rows)
+    plain = {r.doc_id for r in op.query(spark, sf).where("kept").collect()}
+    assert {r.doc_id for r in rows} == plain
+
+
+def test_words_of_any_length():
+    assert len(op.features("w" * 1_000_000)) == len(op.features(None)) and all(map(math.isfinite, op.features("w" * 1_000_000)))

@@ -7,11 +7,13 @@ towards the global rate and that of a path towards its host's, by pseudo-counts
 the variation among hosts (or paths within hosts), so sparse sites count for little. The posterior joins a document's
 evidence with its path's rate; documents below KEEP go.
 
-Sums are of whole millionths, so results don't depend on the order of rows. Only grouped sums are shuffled.
+Sums are of whole millionths, so results don't depend on the order of rows. Each text is scored once, and what follows
+reads the saved evidence. Only grouped sums are shuffled, and the rows only where the rates are too many to broadcast.
 
 Edge cases: null and empty texts have the features of an empty text; a null host or path is a group of its own; equal
 rows get equal results; without labels of both kinds the evidence is nil and everything stays; an empty table gives
-no rows; further columns pass through ``classify``, and its outputs replace columns of their names.
+no rows; further columns, whatever their names, pass through ``classify``, and its outputs replace columns of their names
+(the pipeline's stage returns the input's columns even then).
 """
 
 from __future__ import annotations
@@ -23,13 +25,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import small_batches, table
+from threadmill.llm.common import free_name, saved, small, small_batches, table, written
 
 NAME = "op3_classifier"
 #: Most labelled rows that the regression is fitted to, and the posterior from which a document stays.
 SAMPLE, KEEP = 10_000, 0.5
-#: Paths up to which their rates are broadcast; beyond, both sides are shuffled and hot paths split.
-BROADCAST_PATHS = 100_000
+OUT = ("evidence", "host_rate", "path_rate", "posterior", "kept")
 #: Bounds of the pseudo-counts.
 LEAST_PSEUDO, MOST_PSEUDO = 1.0, 1e6
 RIDGE = 1.0
@@ -102,12 +103,15 @@ def _pseudo(groups, rate, prior, n):
     return float(min(MOST_PSEUDO, max(LEAST_PSEUDO, spread / between - 1))) if between > 0 else MOST_PSEUDO
 
 
-def classify(docs, labels, id_col="doc_id", text_col="text", host=None, path=None):
-    """docs plus evidence, host_rate, path_rate, posterior and kept. host and path: columns, by default source and lang."""
+def classify(docs, labels, id_col="doc_id", text_col="text", host=None, path=None, keep_text=True):
+    """docs plus evidence, host_rate, path_rate, posterior and kept. host and path: columns, by default source and lang.
+
+    keep_text: whether the text is among the columns; without it less is saved.
+    """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     weights, prior = train(docs, labels, id_col, text_col)
-    docs = docs.drop("evidence", "host_rate", "path_rate", "posterior", "kept")
+    docs = docs.drop(*OUT)
     w = weights.tolist() if weights is not None else None
 
     @F.pandas_udf(T.DoubleType())
@@ -117,30 +121,43 @@ def classify(docs, labels, id_col="doc_id", text_col="text", host=None, path=Non
         x = np.array([features(t) for t in texts]).reshape(-1, len(w))
         return pd.Series(np.clip(np.round((x * np.array(w)).sum(axis=1) - prior, 6), -30, 30))
 
-    keyed = {"_host": F.to_json(F.struct(host.cast("string").alias("h"))), "_path": F.to_json(F.struct(host.cast("string").alias("h"), path.cast("string").alias("p")))}
-    scored = docs.withColumns(keyed | {"evidence": evidence(F.col(text_col).cast("string"))})
+    h, p = free_name(docs, "host"), free_name(docs, "path")
+    digest = lambda *c: F.unhex(F.md5(F.to_json(F.struct(*c))))  # noqa: E731  of fixed size, however long an address is
+    keys = {h: digest(host.cast("string").alias("h")), p: digest(host.cast("string").alias("h"), path.cast("string").alias("p"))}
+    scored = docs.withColumns(keys | {"evidence": evidence(F.col(text_col).cast("string"))})
+    scored = written(scored, "evidence") if keep_text else saved(scored.drop(text_col))
+    paths = _rates(scored.select(F.col(h).alias("host"), F.col(p).alias("path"), "evidence"), prior)
+    out = scored.join(small(paths.withColumnRenamed("path", p)), p).drop(h, p)
+    clipped = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("path_rate")))
+    out = out.withColumn("posterior", F.round(1 / (1 + F.exp(-(F.col("evidence") + F.log(clipped / (1 - clipped))))), 6))
+    return out.withColumn("kept", F.lit(True) if w is None else F.col("posterior") >= KEEP)
+
+
+def _rates(scored, prior):
+    """(path, host_rate, path_rate) of rows of host, path and evidence."""
     chance = F.round(1_000_000 / (1 + F.exp(-(F.col("evidence") + prior)))).cast("long")
-    paths = scored.select("_host", "_path", chance.alias("s")).groupBy("_host", "_path").agg(F.sum("s").alias("s"), F.count("*").alias("n")).cache()
+    paths = saved(scored.select("host", "path", chance.alias("s")).groupBy("host", "path").agg(F.sum("s").alias("s"), F.count("*").alias("n")))
     total = paths.agg(F.sum("s"), F.sum("n")).first()
     overall = min(0.999, max(0.001, total[0] / 1e6 / total[1])) if total[1] else 0.5
-    hosts = paths.groupBy("_host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")).withColumns({"rate": F.col("hs") / 1e6 / F.col("hn"), "prior": F.lit(overall)})
+    hosts = saved(paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")).withColumns({"rate": F.col("hs") / 1e6 / F.col("hn"), "prior": F.lit(overall)}))
     kh = _pseudo(hosts, "rate", "prior", "hn")
-    hosts = hosts.select("_host", ((F.col("hs") / 1e6 + kh * overall) / (F.col("hn") + kh)).alias("host_rate"))
-    paths = paths.join(hosts, "_host").withColumn("rate", F.col("s") / 1e6 / F.col("n"))
+    hosts = hosts.select("host", ((F.col("hs") / 1e6 + kh * overall) / (F.col("hn") + kh)).alias("host_rate"))
+    paths = paths.join(hosts, "host").withColumn("rate", F.col("s") / 1e6 / F.col("n"))
     kp = _pseudo(paths, "rate", "host_rate", "n")
-    rates = paths.select("_path", "host_rate", ((F.col("s") / 1e6 + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
-    few = paths.count() <= BROADCAST_PATHS
-    out = scored.join(F.broadcast(rates) if few else rates, "_path").drop("_path", "_host")
-    clipped = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("path_rate")))
-    out = out.withColumn("posterior", F.round(1 / (1 + F.exp(-(F.col("evidence") + F.log(clipped / (1 - clipped))))), 6))
-    return out.withColumn("kept", F.lit(True) if w is None else F.col("posterior") >= KEEP)
+    return saved(paths.select("path", "host_rate", ((F.col("s") / 1e6 + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate")))
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
+    return classify(docs, table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", *OUT)
 
 
 def stage(spark, docs, sf_dir):
     """The documents that stay, with their columns."""
-    return classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    columns, aside = docs.columns, {}
+    for c in columns:
+        if c in OUT:
+            aside[c] = free_name(docs, c)
+            docs = docs.withColumnRenamed(c, aside[c])
+    kept = classify(docs, table(spark, sf_dir, "labels")).where("kept")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in columns])
