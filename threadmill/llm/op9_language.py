@@ -7,12 +7,13 @@ words at most, since its words aren't independent. The texts' posteriors are the
 by host and by declared language; a suffix's rates are shrunk to the global ones, a host's to its suffix's, and a declared
 language counts as an observation with the rate at which it goes with each language. The fused posterior is the product.
 
-Sums are of whole millionths, so results don't depend on the order of rows; only grouped sums are shuffled.
+Sums are of whole millionths, so results don't depend on the order of rows. Sums go by the three keys together, and the
+rates go back to the rows by one digest of them: in one join, broadcast if the rates are few, else split at hot keys.
 
 Edge cases: a null or empty text says nothing and leaves the other evidence; null or odd addresses and declarations are
 groups of their own; ties go to the first language by name; equal rows get equal results; without labelled rows the
-language is null; an empty table gives no rows; further columns pass through ``identify`` and its outputs replace columns
-of their names.
+language is null; an empty table gives no rows; further columns, whatever their names, pass through ``identify`` and its
+outputs replace columns of their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import saved, small_batches, table, word_array
+from threadmill.llm.common import free_name, saved, small, small_batches, table, word_array
 
 NAME = "op9_language"
 SAMPLE, VOCABULARY, OWN_WORDS = 10_000, 40_000, 1_000
@@ -159,9 +160,11 @@ def identify(rows, trained, text="text", declared="declared", suffix="suffix", h
         for texts in batches:
             yield pd.Series([np.round(of(t), 6) for t in texts], dtype=object)
 
-    keyed = saved(rows.withColumns({
-        "_ll": score(F.col(text).cast("string")), "_d": F.lower(F.split(F.coalesce(F.col(declared), F.lit("")), "[-_]")[0]),
-        "_s": F.lower(F.coalesce(F.col(suffix), F.lit(""))), "_h": F.lower(F.coalesce(F.col(host), F.lit("")))}).drop(text))
+    ll, d, s, h, key, prior, dr, p = (free_name(rows, x) for x in ("ll", "declared", "suffix", "host", "key", "prior", "spoken", "p"))
+    keyed = rows.withColumns({
+        ll: score(F.col(text).cast("string")), d: F.lower(F.split(F.coalesce(F.col(declared), F.lit("")), "[-_]")[0]),
+        s: F.lower(F.coalesce(F.col(suffix), F.lit(""))), h: F.lower(F.coalesce(F.col(host), F.lit("")))}).drop(text)
+    keyed = saved(keyed.withColumn(key, F.unhex(F.md5(F.to_json(F.struct(d, s, h))))))
     sent.unpersist()  # the checkpoint has all that it was for
     top = lambda a: F.element_at(F.filter(F.lit(langs), lambda x, i: F.get(a, i) == F.array_max(a)), 1)
 
@@ -169,26 +172,32 @@ def identify(rows, trained, text="text", declared="declared", suffix="suffix", h
         e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
         return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
-    said = F.exists("_ll", lambda x: x != 0)
-    post = keyed.where(said).select("_d", "_s", "_h", softmax(F.col("_ll")).alias("p"))
-    sums = [F.sum(F.round(F.get("p", F.lit(i)) * 1_000_000).cast("long")).alias(f"c{i}") for i in range(n)]
-    by = saved(post.groupBy("_d", "_s", "_h").agg(*sums))
+    said = F.exists(ll, lambda x: x != 0)
     cols = [f"c{i}" for i in range(n)]
-    counts = lambda keys: by.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
+    post = keyed.select(F.col(key).alias("k"), F.col(d).alias("d"), F.col(s).alias("s"), F.col(h).alias("h"), F.when(said, softmax(F.col(ll))).alias("p"))
+    by = post.groupBy("k").agg(*[F.min(x).alias(x) for x in "dsh"], *[F.coalesce(F.sum(F.round(F.get("p", F.lit(i)) * 1_000_000).cast("long")), F.lit(0)).alias(c) for i, c in enumerate(cols)])
+    rates = small(saved(_rates(saved(by), cols)).select(F.col("k").alias(key), F.col("prior").alias(prior), F.col("spoken").alias(dr)))
+    fused = F.transform(ll, lambda x, i: x + F.log(F.get(F.col(prior), i)) + F.get(F.col(dr), i))
+    out = keyed.join(rates, key).withColumn(p, fused).withColumn(p, softmax(F.col(p)))
+    out = out.withColumns({"language": top(F.col(p)), "confidence": F.round(F.array_max(p), 6), "text_language": F.when(said, top(F.col(ll)))})
+    return out.drop(ll, d, s, h, key, prior, dr, p)
+
+
+def _rates(by, cols):
+    """(k, prior, spoken) for the groups of declared language d, suffix s and host h with their sums: the host's shrunk rates,
+    and the logarithms of the declared language's rates against the global ones."""
+    counts = lambda *keys: by.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
     whole = by.agg(*[F.sum(c) for c in cols]).first()
     mass = sum(x or 0 for x in whole)
-    overall = [((x or 0) + 1) / (mass + n) for x in whole]
-    rate = lambda prior: F.array(*[(F.coalesce(F.col(c), F.lit(0)) / 1e6 + PSEUDO * p) / (sum(F.coalesce(F.col(k), F.lit(0)) for k in cols) / 1e6 + PSEUDO) for c, p in zip(cols, prior, strict=True)])
-    suffixes = counts(["_s"]).select("_s", rate([F.lit(p) for p in overall]).alias("sr"))
-    hosts = counts(["_s", "_h"]).join(suffixes, "_s").select("_s", "_h", rate([F.get("sr", F.lit(i)) for i in range(n)]).alias("hr"))
+    overall = [((x or 0) + 1) / (mass + len(cols)) for x in whole]
+    rate = lambda prior: F.array(*[(F.col(c) / 1e6 + PSEUDO * p) / (sum(F.col(k) for k in cols) / 1e6 + PSEUDO) for c, p in zip(cols, prior, strict=True)])
+    global_rate = rate([F.lit(p) for p in overall])
+    suffixes = small(saved(counts("s").select("s", global_rate.alias("sr"))))
+    hosts = saved(saved(counts("s", "h")).join(suffixes, "s").select("s", "h", rate([F.get("sr", F.lit(i)) for i in range(len(cols))]).alias("prior")))
     # P(declared | language) up to the language's total, which the declared rate against the global one gives
-    spoken = counts(["_d"]).where("_d <> ''").select("_d", F.array(*[F.log(x / F.lit(p)) for x, p in zip([F.get(rate([F.lit(q) for q in overall]), F.lit(i)) for i in range(n)], overall, strict=True)]).alias("dr"))
-    out = keyed.join(hosts, ["_s", "_h"], "left").join(suffixes, "_s", "left").join(spoken, "_d", "left")
-    prior = F.coalesce("hr", "sr", F.array(*[F.lit(p) for p in overall]))
-    fused = F.transform("_ll", lambda x, i: x + F.log(F.get(F.col("_prior"), i)) + F.coalesce(F.get(F.col("dr"), i), F.lit(0.0)))
-    out = out.withColumn("_prior", prior).withColumn("_fused", fused).withColumn("_p", softmax(F.col("_fused")))
-    out = out.withColumns({"language": top(F.col("_p")), "confidence": F.round(F.array_max("_p"), 6), "text_language": F.when(said, top(F.col("_ll")))})
-    return out.drop("_ll", "_d", "_s", "_h", "hr", "sr", "dr", "_prior", "_fused", "_p")
+    against = F.array(*[F.when(F.col("d") == "", 0.0).otherwise(F.log(F.get(global_rate, F.lit(i)) / F.lit(p))) for i, p in enumerate(overall)])
+    spoken = small(saved(counts("d").select("d", against.alias("spoken"))))
+    return by.join(small(hosts), ["s", "h"]).join(spoken, "d").select("k", "prior", "spoken")
 
 
 def markup_text(html):
