@@ -100,3 +100,30 @@ def test_small(spark, rows):
     assert len(got) == len(rows)
     if len(rows) == 3:
         assert {r.class_id for r in got} == {3}
+
+
+def test_buckets_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "SCAN", 50)
+    monkeypatch.setattr(op, "BLOCK", 20)
+    rng, rows = random.Random(8), []
+    common = " ".join(f"common{i}" for i in range(80))
+    for _ in range(150):  # texts that share much, but too little
+        rows.append((len(rows), f"{common} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))))
+    for k in range(12):  # and groups of near copies that share it too
+        own = [f"g{k}_{i}" for i in range(200)]
+        rows += [(len(rows) + i, f"{common} " + edited(rng, own, 3)) for i in range(8)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grouped(op.classes(df)) == brute(rows)
+
+
+def test_signatures_that_go_on():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 256, (60, op.M)).astype(np.uint8)
+    sig[30:] = np.where(rng.random((30, op.M)) < 0.7, sig[:30], sig[30:])
+    root = [bytes([i % 7]) for i in range(60)]
+    for mine in ([0] * 60, [i % 2 for i in range(60)]):
+        want = {z for x in range(60) for y in range(x) if (len(set(mine)) == 1 or mine[x] != mine[y]) and root[x] != root[y] and (sig[x] == sig[y]).sum() >= op.LEAST_EQUAL for z in (x, y)}
+        assert set(op._near(pd.DataFrame({"sig": [s.tobytes() for s in sig], "root": root, "mine": mine})).tolist()) == want and want

@@ -12,12 +12,15 @@ BANDS bands of ROWS rows miss a pair at the threshold with probability 3.2e-6. E
 
 1. in each bucket the node that meets most others over all its buckets (the original of edited copies, as a rule) is paired
    with all others of the bucket; verified links give classes;
-2. buckets of three or more that still hold several classes are dealt in pairs of blocks of at most BLOCK nodes or so. There
-   each pair of different classes is compared, in the first band that it shares only, by signatures and then by bags;
-   just the links that join classes leave the task.
+2. buckets of three or more that still hold several classes are dealt in pairs of blocks of at most SCAN nodes or so, with
+   their signatures only (a tenth of a kilobyte each); the nodes whose signature is near one of another class go on;
+3. these are dealt again, in pairs of blocks of at most BLOCK nodes with their bags. There each pair of different classes
+   is compared, in the first band that it shares only, by signatures and then by bags; just the links that join classes
+   leave the task.
 
 So no candidate is capped or dropped, no pair within a class is enumerated, a task holds two blocks at most, and what is
-emitted is in proportion to the nodes. A pair whose signatures share less than LEAST_EQUAL of M components isn't verified:
+emitted is in proportion to the nodes. Step 2 is what a bucket of n texts that share a passage and little else costs: n / SCAN
+times its signatures are shuffled, no bags. A pair whose signatures share less than LEAST_EQUAL of M components isn't verified:
 at the threshold that happens with probability 3e-5. A pair is a link if the exact multiset overlap is THRESHOLD or
 more; a class is what links connect. Everything stays distributed; steps are cut by checkpoints in the shared folder.
 
@@ -34,14 +37,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import saved, small_batches, table
+from threadmill.llm.common import free_name, saved, small_batches, table
 
 NAME = "op6_minhash"
 SHINGLE, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 24, 4
 M = BANDS * ROWS
-#: Nodes of a block, about.
-BLOCK = 1024
+#: Nodes of a block, about: with signatures, and with bags.
+SCAN, BLOCK = 8192, 1024
 #: Components (of M) that the signatures of a pair share that is verified.
 LEAST_EQUAL = 60
 #: Word hashes that a worker keeps.
@@ -227,6 +230,54 @@ def _verified(pairs, nodes, bags):
     return saved(full.where(_linked("ga", "gb")).select("a", "b"))
 
 
+def _near(rows):
+    """The places of the rows, of a pair of blocks of a bucket, whose signatures are near one of another class."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, M)
+    names: dict = {}
+    root = np.array([names.setdefault(bytes(r), i) for i, r in enumerate(rows["root"])])
+    mine = rows["mine"].to_numpy()
+    cross = mine.min() != mine.max()
+    left = np.flatnonzero(mine == mine.min()) if cross else np.arange(len(rows))
+    right = np.flatnonzero(mine != mine.min()) if cross else left
+    if len(names) < 2:
+        return np.empty(0, int)
+    found, by_component = np.zeros(len(rows), bool), np.ascontiguousarray(sig.T)
+    at_once = max(1, (1 << 22) // len(right))
+    for i in range(0, len(left), at_once):
+        xs = left[i:i + at_once]
+        equal = np.zeros((len(xs), len(right)), np.uint8)
+        for c in by_component:
+            equal += c[xs][:, None] == c[right][None, :]
+        hits = (equal >= LEAST_EQUAL) & (root[xs][:, None] != root[right][None, :])
+        found[xs[hits.any(axis=1)]] = True
+        found[right[hits.any(axis=0)]] = True
+    return np.flatnonzero(found)
+
+
+def _scan(batches):
+    """Rows sorted by bucket and pair of blocks -> the (key, node) that go on. Holds one pair of blocks at a time."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        changes = (held[["key", "lo", "hi"]] != held[["key", "lo", "hi"]].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(changes)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            part = held.iloc[a:b].reset_index(drop=True)
+            if len(near := _near(part)):
+                yield part.loc[near, ["key", "node"]]
+        held = held.iloc[starts[-1]:].reset_index(drop=True) if len(starts) else None
+    if held is not None and len(held) and len(near := _near(held)):
+        yield held.loc[near, ["key", "node"]]
+
+
+def _dealt(rows, size):
+    """rows of buckets (key) of n nodes, once for each other block of their bucket: plus mine, lo and hi."""
+    blocks = F.ceil(F.col("n") / size)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.select("key", "node", "root", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+
 def _joining(key, rows):
     """Links that join different roots among the rows of a pair of blocks of a bucket, as (a, b)."""
     if len(rows) < 2:
@@ -311,11 +362,10 @@ def rooted(docs, id_col="doc_id", text_col="text"):
     roots = components(links)
     rooted = members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = saved(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rest = rooted.join(mixed.select("key"), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("key", "node", "root", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    rest = rest.join(nodes, "node").join(bags, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    rest = _dealt(rooted.join(mixed.select("key"), "key", "left_semi"), SCAN).join(nodes.select("node", "sig"), "node")
+    near = saved(rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_scan, "key long, node binary").distinct())
+    near = near.join(saved(near.groupBy("key").agg(F.count("*").alias("n"))), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _dealt(near, BLOCK).join(nodes, "node").join(bags, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     more = rest.mapInPandas(_blocks, "a binary, b binary")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
@@ -324,11 +374,12 @@ def rooted(docs, id_col="doc_id", text_col="text"):
 
 def representatives(docs, id_col="doc_id", text_col="text"):
     """One row of each class of docs, with its columns: the one with the least id (null last), of equal ids the least text digest."""
+    name = free_name(docs, "key")
     key = lambda i, node: F.sha2(F.concat(F.coalesce(i.cast("string"), F.lit("-")).cast("binary"), F.lit(b"|"), node), 256)
     first = rooted(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
-    chosen = first.select(key(F.col("x.doc_id"), F.col("x.node")).alias("_key"))
-    rows = docs.withColumn("_key", key(F.col(id_col), node_of(F.col(text_col)))).join(chosen, "_key")
-    return rows.dropDuplicates(["_key"]).select(*docs.columns)  # by the join's partitioning: only rows equal in id and text meet
+    chosen = first.select(key(F.col("x.doc_id"), F.col("x.node")).alias(name))
+    rows = docs.withColumn(name, key(F.col(id_col), node_of(F.col(text_col)))).join(chosen, name)
+    return rows.dropDuplicates([name]).select(*docs.columns)  # by the join's partitioning: only rows equal in id and text meet
 
 
 def query(spark, sf_dir):
