@@ -138,3 +138,17 @@ def test_unique_ids(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "k int, n string")
     got = [r.thread_id for r in dedup.unique_ids(df, "k", F.col("n"), "k").orderBy("k").collect()]
     assert got == ["x", "x_2", "x_3", "x_4", "y", "x_2_2", "y_1", "y_2", "x_2_2_2"]
+
+
+def test_many_threads_and_large_places(spark):
+    from threadmill.schema import THREADS
+    from threadmill.sources.export_reader import from_table
+
+    rows = spark.range(5000).selectExpr("id", "'same' as role", "concat('m', id) as text", "id + 3000000000 as place")
+    messages = from_table(rows, F.col("id"), F.col("role"), F.col("text"), F.col("id"), F.col("place"))
+    threads = rows.selectExpr("cast(id as string) as thread_key", "'table' as source_id", "0 as source_seq", "cast(id as int) as thread_seq", "'' as title", "array('same') as participants").select(*THREADS.names)
+    one, merged = dedup.merge(threads, messages)
+    assert one.count() == 1
+    got = merged.orderBy("file_seq").collect()
+    assert len(got) == 5000 and [r.content for r in got] == [f"m{i}" for i in range(5000)]
+    assert got[-1].file_seq == 4999 * dedup.FILES_OF_A_THREAD and got[-1].msg_idx == 3_000_004_999

@@ -112,3 +112,25 @@ def test_dry_run_lists_all_inputs(spark, root, tmp_path, capsys):
     assert cli.main(["archive", "--input", str(root), str(tmp_path), "--out", str(tmp_path / "out"), "--dry-run"]) == 0
     listed = capsys.readouterr().out.split("\n")
     assert [x.rsplit("/", 1)[-1] for x in listed if x.startswith("DIR")] == ["x", "y", "z"]
+
+
+def test_incremental_runs_of_several_inputs_and_files_that_go(spark, tmp_path):
+    def put(at, name):
+        (tmp_path / at / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / at / name / "message_1.json").write_text(json.dumps({"participants": [{"name": name}], "title": name, "messages": [{"sender_name": name, "timestamp_ms": 1702800000000, "content": f"{at} {name}"}]}))
+
+    store = str(tmp_path / "store")
+    for at, name in (("a", "x"), ("a", "y"), ("b", "z")):
+        put(at, name)
+    for seq, at in enumerate("ab"):
+        incremental.update(spark, str(tmp_path / at), store, at, seq)
+    put("a", "w")
+    assert incremental.update(spark, str(tmp_path / "a"), store, "a", 0)["changed_threads"] == 1
+    threads, _ = incremental.current(spark, store)
+    assert [r.title for r in threads.orderBy("thread_seq").collect()] == ["w", "x", "y", "z"] and [r.thread_seq for r in threads.orderBy("thread_seq").collect()] == [0, 1, 2, 3]
+    (tmp_path / "a/x/message_1.json").unlink()
+    assert incremental.update(spark, str(tmp_path / "a"), store, "a", 0) == {"run": 4, "changed_threads": 1, "unchanged_files": 2}
+    threads, messages = incremental.current(spark, store)
+    assert {r.title for r in threads.collect()} == {"w", "y", "z"} == {r.sender for r in messages.collect()}
+    facts = incremental.stats_of(spark, store).first()
+    assert facts.files == 4 and facts.runs == 4 and facts.mb > 0 and facts.hit_rate == 1.0

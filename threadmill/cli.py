@@ -102,8 +102,8 @@ def archive(args) -> int:
             print("FILE" if r.standalone else "DIR ", r.thread_key)
         return 0
     if args.incremental:
-        for path in args.input:
-            say(incremental.update(spark, path, store, path))
+        for seq, path in enumerate(args.input):
+            say(incremental.update(spark, path, store, path, seq))
         threads, messages = incremental.current(spark, store)
         messages = filters.in_date_range(messages, after, before, args.before_inclusive_day)
     else:

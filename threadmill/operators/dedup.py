@@ -12,6 +12,8 @@ from threadmill.schema import MESSAGES, ORDER, THREADS
 
 #: Characters of a content that tell two messages apart when threads are merged.
 MERGE_PREFIX = 50
+#: Files that a thread has fewer of: places of merged threads are multiples of it, in longs.
+FILES_OF_A_THREAD = 1 << 32
 
 
 def first_of(df: DataFrame, keys, order) -> DataFrame:
@@ -59,7 +61,7 @@ def merge(threads: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame
     rows = messages.join(names, "thread_key")
     kept = first_of(rows.withColumn("_p", F.substring("content", 1, MERGE_PREFIX)), ["_to", "timestamp_ms", "sender", "_p"], ["_seq", *ORDER])
     # places in the merged thread: by time, then by the thread that a message came from
-    kept = kept.withColumns({"thread_key": F.col("_to"), "file_seq": (F.col("_seq") * 1_000_000 + F.col("file_seq")).cast("int")})
+    kept = kept.withColumns({"thread_key": F.col("_to"), "file_seq": F.col("_seq").cast("long") * FILES_OF_A_THREAD + F.col("file_seq")})
     return merged.select(*THREADS.names), kept.select(*MESSAGES.names)
 
 

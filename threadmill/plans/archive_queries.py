@@ -114,7 +114,7 @@ def date_divider(spark, sf_dir):
 
 @query(f"SELECT thread_key, msg_idx, dt_iso FROM (SELECT thread_key, CAST(msg_idx AS INTEGER) AS msg_idx, dt_iso, epoch_ms(timestamp_ms) AS t FROM {EV}) WHERE t BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
 def date_range(spark, sf_dir):
-    return filters.in_date_range(ev(spark, sf_dir), "2024-01-10", "2024-01-20").select("thread_key", "msg_idx", "dt_iso")
+    return filters.in_date_range(ev(spark, sf_dir), "2024-01-10", "2024-01-20").select("thread_key", F.col("msg_idx").cast("int").alias("msg_idx"), "dt_iso")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the')")
@@ -216,7 +216,15 @@ def unique_thread_id(spark, sf_dir):
     return dedup.unique_ids(parts, "p_partkey", base, "p_partkey")
 
 
-QUERIES["unique_thread_id"] = unique_thread_id  # ids depend on all before them: compared with a loop in the tests
+QUERIES["unique_thread_id"] = unique_thread_id
+# the ids of a root are handed out one after the other: each step of the recursion takes the next row of every root
+ORACLES["unique_thread_id"] = r"""WITH RECURSIVE b AS (SELECT p_partkey, substring(regexp_replace(regexp_replace(lower(p_name || CASE WHEN p_size % 5 = 0 THEN ' 2' ELSE '' END), ' +', '_', 'g'), '_+', '_', 'g'), 1, 140) AS base FROM part),
+    p AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS n FROM (SELECT *, regexp_replace(base, '(_[0-9]+)+$', '') AS root FROM b)),
+    r AS (SELECT p_partkey, base, root, n, base AS thread_id, [base] AS used FROM p WHERE n = 1
+          UNION ALL SELECT p_partkey, base, root, n, id, list_append(used, id) FROM (SELECT p.p_partkey, p.base, p.root, p.n, r.used,
+              list_filter(list_prepend(p.base, list_transform(range(2, p.n + 2), lambda k: p.base || '_' || CAST(k AS VARCHAR))), lambda x: NOT list_contains(r.used, x))[1] AS id
+              FROM r JOIN p ON p.root = r.root AND p.n = r.n + 1))
+    SELECT p_partkey, base, thread_id FROM r"""
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS escaped FROM documents WHERE text IS NOT NULL")

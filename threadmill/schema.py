@@ -27,7 +27,7 @@ EXPORT = _struct(title=STRING, threadName=STRING, participants=STRINGS, messages
 DETAIL = _struct(type=STRING, uri=STRING, filename=STRING, thumbnail=STRING, link=STRING, text=STRING)
 #: A cleaned message. (timestamp_ms, file_seq, msg_idx) orders a thread; source_seq and thread_key order and name threads.
 MESSAGES = _struct(
-    thread_key=STRING, source_id=STRING, source_seq=INT, file_seq=INT, msg_idx=INT, timestamp_ms=LONG, ts=T.TimestampType(), dt_iso=STRING,
+    thread_key=STRING, source_id=STRING, source_seq=INT, file_seq=LONG, msg_idx=LONG, timestamp_ms=LONG, ts=T.TimestampType(), dt_iso=STRING,
     sender=STRING, content=STRING, reactions=STRING, attachments=STRING, attachment_details=T.ArrayType(DETAIL))
 #: A thread: its messages are those of its thread_key.
 THREADS = _struct(thread_key=STRING, source_id=STRING, source_seq=INT, thread_seq=INT, title=STRING, participants=STRINGS)

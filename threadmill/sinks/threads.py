@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from threadmill.functions.text import html_lines
 from threadmill.operators import stats
 from threadmill.schema import ORDER
+from threadmill.session import saved
 from threadmill.sinks.files import Output, file_system, safe_name
 
 NO_TEXT, NOBODY = "*(no text)*", "(unknown)"
@@ -145,7 +146,7 @@ def write_threads(messages: DataFrame, threads: DataFrame, out: str, fmt: str, s
                     if m.head is not None:
                         if file is not None:
                             done.append(close())
-                        key, thread, first = m.thread_key, pd.Series(m.head), True
+                        key, thread, first = m.thread_key, pd.Series(m.head | {"n_messages": int(m.head["n_messages"])}, dtype=object), True
                         file = Output(out, f"{thread.thread_id}.{writer.suffix}")
                         for part in writer.head(thread):
                             file.write(part)
@@ -174,12 +175,12 @@ def write_index(messages: DataFrame, threads: DataFrame, out: str, generated: st
     """The threads with most messages first; a section for each source if there are several. Rows are streamed through the driver."""
     total = stats.source_totals(messages).orderBy(F.col("source_id").isNotNull(), "source_id").toLocalIterator()
     whole = next(iter(total), None)
-    rows = stats.index(messages, threads)
+    rows = saved(stats.index(messages, threads))  # once for all sources
     with Output(out, name) as f:
         f.write(f"# Archive index\n\n**Generated:** {generated}\n**Total Threads:** {whole.n_threads if whole else 0:,}\n**Total Messages:** {whole.n_messages if whole else 0:,}\n")
         for source in total:
             f.write(f"\n## {_cell(source.source_id)}: {source.n_threads:,} threads, {source.n_messages:,} messages\n\n| Messages | Thread | Date Range | Top Sender | File |\n|---:|---|---|---|---|\n")
-            for r in rows.where(F.col("source_id") == source.source_id).toLocalIterator():
+            for r in rows.where(F.col("source_id") == source.source_id).orderBy(F.desc("n_messages"), "thread_seq").toLocalIterator():
                 dates = f"{r.first_date} to {r.last_date}"
                 f.write(f"| {r.n_messages:,} | {_cell(r.title)} | {dates} | {_cell(r.top_sender)} ({r.top_count}) | [{r.thread_id}]({r.thread_id}.md) |\n")
 

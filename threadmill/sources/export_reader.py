@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from threadmill.functions.attachments import attachment_details, attachment_summary, has_payload, reaction_summary
 from threadmill.functions.text import clean_text, is_blank, iso_seconds, safe_str
 from threadmill.operators.filters import in_date_range
+from threadmill.operators.ranks import with_place
 from threadmill.schema import MESSAGES, REJECTS, THREADS
 from threadmill.sources import repair
 
@@ -105,9 +106,9 @@ def threads_of(parsed: DataFrame) -> DataFrame:
     title = F.coalesce(F.nullif(F.col("t"), F.lit("")), own)
     named = F.concat(F.array_join(F.slice("participants", 1, NAMED_IN_TITLE), ", "), F.when(F.size("participants") > NAMED_IN_TITLE, "…").otherwise(""))
     folded = folded.withColumn("title", F.when(is_blank(title) & (F.size("participants") > 0), named).otherwise(title))
-    # folders first, then standalone files, each by path: the order in which ids are given out. Threads are few against messages.
-    seq = F.row_number().over(Window.orderBy("source_seq", "standalone", "thread_key")) - 1
-    return folded.withColumn("thread_seq", seq).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in THREADS])
+    # folders first, then standalone files, each by path: the order in which ids are given out
+    placed = with_place(folded, "source_seq", "standalone", "thread_key", name="thread_seq")
+    return placed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in THREADS])
 
 
 def read_archive(spark: SparkSession, roots, limit: int | None = None, after=None, before=None, keep_good_files: bool = False, before_inclusive_day: bool = False) -> Archive:
@@ -144,7 +145,7 @@ def from_table(df: DataFrame, thread, sender, content, timestamp_ms, order, sour
     """Any table of texts as messages: the columns or expressions given, with no attachments."""
     none = F.array().cast(MESSAGES["attachment_details"].dataType)
     rows = df.select(
-        thread.cast("string").alias("thread_key"), F.lit(source_id).alias("source_id"), F.lit(0).alias("source_seq"), F.lit(0).alias("file_seq"), order.cast("int").alias("msg_idx"),
+        thread.cast("string").alias("thread_key"), F.lit(source_id).alias("source_id"), F.lit(0).alias("source_seq"), F.lit(0).cast("long").alias("file_seq"), order.cast("long").alias("msg_idx"),
         timestamp_ms.cast("long").alias("timestamp_ms"), sender.cast("string").alias("sender"), safe_str(content).alias("content"),
         F.lit("").alias("reactions"), F.lit("").alias("attachments"), none.alias("attachment_details"))
     return rows.withColumns({"ts": F.timestamp_millis("timestamp_ms"), "dt_iso": iso_seconds("timestamp_ms")}).select(*MESSAGES.names)

@@ -1,7 +1,8 @@
 """Incremental runs: only folders whose files changed are read again.
 
 The store is a folder with ``messages`` and ``threads`` (Parquet, a folder for each run) and ``ledger`` (path and SHA-256 of the
-whole content of every file read). A thread's newest run is its state; ``current`` reads it. ``stream`` does the same from a
+whole content of every file read; no hash for a file that went). A thread's newest run is its state, and a thread without files
+has none; ``current`` reads them, and numbers the threads by source and key, whichever run each comes from. ``stream`` does the same from a
 file stream with a checkpoint, for exports that keep arriving as new files.
 """
 
@@ -13,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions.hashing import content_hash
+from threadmill.operators.ranks import with_place
 from threadmill.schema import MESSAGES, THREADS
 from threadmill.sources import repair
 from threadmill.sources.export_reader import discover, list_files, messages_of, threads_of
 
-LEDGER = "path string, thread_key string, hash string, run long"
+LEDGER = "path string, thread_key string, hash string, run long, source_id string, attempt string"
 
 
 def _read(spark: SparkSession, store: str, name: str, schema) -> DataFrame:
@@ -33,37 +35,38 @@ def _run_schema(schema):
     return schema.add("run", "long") if "run" not in schema.names else schema
 
 
-def update(spark: SparkSession, root: str, store: str, source_id: str = "archive") -> dict:
-    """Reads what is new or changed below root; {run, changed threads, unchanged files}. A run that fails part way changes nothing
-    that ``current`` reads: the ledger is written last, and only its runs count."""
+def update(spark: SparkSession, root: str, store: str, source_id: str = "archive", source_seq: int = 0) -> dict:
+    """Reads what is new, changed or gone below root; {run, changed threads, unchanged files}. A run that fails part way changes
+    nothing that ``current`` reads: the ledger is written last, and only its runs count."""
     ledger = _read(spark, store, "ledger", LEDGER)
     last = ledger.agg(F.max("run")).first()[0]
     run = (last or 0) + 1
-    files = discover(list_files(spark, root, source_id)).withColumn("hash", content_hash("raw")).persist()
-    known = ledger.groupBy("path").agg(F.max_by("hash", "run").alias("was"))
-    fresh = files.select("path", "thread_key", "hash").join(known, "path", "left")
-    changed = fresh.where("was is null or was <> hash").select("thread_key").distinct().persist()
-    n_changed, n_same = changed.count(), fresh.where("was = hash").count()  # before the ledger grows
+    files = discover(list_files(spark, root, source_id, source_seq)).withColumn("hash", content_hash("raw")).persist()
+    known = ledger.where(F.col("source_id") == source_id).groupBy("path", "thread_key").agg(F.max_by("hash", "run").alias("was")).where("was is not null")
+    both = files.select("path", "thread_key", "hash").join(known, ["path", "thread_key"], "full").persist()
+    changed = both.where("not (was <=> hash)").select("thread_key").distinct().persist()
+    n_changed, n_same = changed.count(), both.where("was = hash").count()  # before the ledger grows
     if n_changed:
         parsed = repair.load(files.join(changed, "thread_key", "left_semi")).where("data is not null")
         attempt = uuid.uuid4().hex  # leftovers of a failed run have another attempt's name
         messages_of(parsed).withColumns({"run": F.lit(run).cast("long")}).write.mode("append").option("maxRecordsPerFile", 5_000_000).parquet(f"{store}/messages/attempt={attempt}")
         threads_of(parsed).withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(f"{store}/threads/attempt={attempt}")
-        rows = files.join(changed, "thread_key", "left_semi").select("path", "thread_key", "hash", F.lit(run).cast("long").alias("run"))
-        rows.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{store}/ledger")
+        rows = both.join(changed, "thread_key", "left_semi").select("path", "thread_key", "hash", F.lit(run).cast("long").alias("run"), F.lit(source_id).alias("source_id"), F.lit(attempt).alias("attempt"))
+        rows.write.mode("append").parquet(f"{store}/ledger")
     out = {"run": run if n_changed else last or 0, "changed_threads": n_changed, "unchanged_files": n_same}
-    files.unpersist()
-    changed.unpersist()
+    for x in (files, both, changed):
+        x.unpersist()
     return out
 
 
 def current(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """(threads, messages) of the newest run of each thread."""
-    ledger = _read(spark, store, "ledger", LEDGER + ", attempt string")
+    ledger = _read(spark, store, "ledger", LEDGER)
     newest = ledger.groupBy("thread_key").agg(F.max("run").alias("run"), F.max_by("attempt", "run").alias("attempt"))
     threads = _read(spark, store, "threads", _run_schema(_copy(THREADS)).add("attempt", "string")).join(newest, ["thread_key", "run", "attempt"], "left_semi")
     messages = _read(spark, store, "messages", _run_schema(_copy(MESSAGES)).add("attempt", "string")).join(newest, ["thread_key", "run", "attempt"], "left_semi")
-    return threads.drop("run", "attempt"), messages.drop("run", "attempt")
+    placed = with_place(threads.drop("run", "attempt", "thread_seq"), "source_seq", "source_id", "thread_key", name="thread_seq")
+    return placed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in THREADS]), messages.drop("run", "attempt")
 
 
 def _copy(schema):
@@ -71,8 +74,19 @@ def _copy(schema):
 
 
 def stats_of(spark: SparkSession, store: str) -> DataFrame:
-    """Entries and runs of the ledger."""
-    return _read(spark, store, "ledger", LEDGER).agg(F.count("*").alias("entries"), F.count_distinct("path").alias("files"), F.count_distinct("run").alias("runs"))
+    """Entries, files, runs and megabytes of the store, and the share of files that the last run found unchanged."""
+    from threadmill.sinks.files import file_system
+
+    ledger = _read(spark, store, "ledger", LEDGER)
+    system, root = file_system(store)
+    from pyarrow import fs
+
+    size = sum(x.size or 0 for x in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)))
+    last = ledger.agg(F.max("run")).first()[0]
+    live = ledger.groupBy("path").agg(F.max_by("hash", "run").alias("hash"), F.max("run").alias("run")).where("hash is not null")
+    rows = ledger.agg(F.count("*").alias("entries"), F.count_distinct("path").alias("files"), F.count_distinct("run").alias("runs"), F.lit(size / 2**20).alias("mb"))
+    hits = live.agg(F.coalesce(F.count_if(F.col("run") < (last or 0)) / F.count("*"), F.lit(0.0)).alias("hit_rate"))
+    return rows.crossJoin(hits)  # a row each
 
 
 def stream(spark: SparkSession, root: str, store: str, checkpoint: str, source_id: str = "stream", available_now: bool = True):
