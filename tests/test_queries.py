@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from threadmill.plans import archive_queries as q
+from threadmill.plans import export_queries
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,3 +58,12 @@ def test_mojibake_of_all_documents_against_a_loop(spark):
     for r in got:
         t = texts[r.doc_id]
         assert r.kept == repair(t) and r.repaired == (None if t is None else repair(t.encode("utf-8").decode("latin-1")))
+
+
+@pytest.mark.parametrize("name", sorted(export_queries.ORACLES))
+def test_exports_sinks_and_pictures_against_oracle(spark, db, name):
+    got, want = export_queries.QUERIES[name](spark, SF), db.sql(export_queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    a, b = canonical(got.toPandas()), canonical(want.df())
+    assert len(a) == len(b) > 0
+    assert a == b
