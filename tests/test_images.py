@@ -126,3 +126,44 @@ def test_presets():
     assert slicer.PRESETS["quality"].deskew_fast and slicer.PRESETS["fast"].chunk_h == 1600
     with pytest.raises(k.SliceError):
         slicer.SliceConfig(out_format="jpg")
+
+
+def test_jpeg(spark, tmp_path):
+    from threadmill.images import jpeg
+
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[0:123, 0:201]
+    images = {"colours": np.stack([x % 256, y % 256, (x + y) % 256], -1).astype(np.uint8), "noise": rng.integers(0, 256, (64, 80, 3)).astype(np.uint8), "flat": np.full((17, 9, 3), 200, np.uint8),
+              "gray": (x % 256).astype(np.uint8), "one": np.full((1, 1, 3), 7, np.uint8), "text": page(900, 300)}
+    for name, img in images.items():
+        for q in (10, 92, 100):
+            (tmp_path / f"{name}_{q}.jpg").write_bytes(jpeg.encode(img, q, 150))
+    back = {r.origin.rsplit("/", 1)[1][:-4]: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels) for r in spark.read.format("image").load(str(tmp_path)).select("image.*").collect()}
+    assert len(back) == 3 * len(images)
+    for name, img in images.items():
+        off = {q: np.abs((back[f"{name}_{q}"][:, :, 0] if img.ndim == 2 else back[f"{name}_{q}"][:, :, ::-1]).astype(int) - img).mean() for q in (10, 92, 100)}
+        assert off[100] < 0.6 and off[92] < 6 and off[100] <= off[92] + 0.5 <= off[10] + 1
+    for q in (0, 101):
+        with pytest.raises(ValueError):
+            jpeg.encode(images["flat"], q)
+    with pytest.raises(k.SliceError):
+        slicer.SliceConfig(out_format="webp")
+
+
+def test_huffman_lengths():
+    from threadmill.images import jpeg
+
+    for counts in ({5: 3}, {i: 1 for i in range(162)}, {i: int(1.6**i) + 1 for i in range(60)}):
+        lengths = jpeg.code_lengths(counts)
+        assert max(lengths.values()) <= 16 and sum(2.0**-n for n in lengths.values()) < 1  # a code is left: the one of all ones
+        codes = sorted(f"{c:0{lengths[s]}b}" for s, c in jpeg._codes(lengths).items())
+        assert not any(b.startswith(a) for a, b in zip(codes, codes[1:], strict=False))
+
+
+def test_slices_as_jpg_and_selftest(spark, tmp_path, capsys):
+    from threadmill import cli
+
+    rows = slicer.slice_image("/a/b.png", page(2000, 300), slicer.SliceConfig(upscale=1.0, out_format="jpg", jpg_quality=80))
+    assert [r["file"] for r in rows] == ["b_001.jpg", "b_002.jpg"] and all(r["content"][:3] == b"\xff\xd8\xff" for r in rows)
+    assert cli.main(["slice", "--out", str(tmp_path), "--selftest"]) == 0
+    assert "all is well" in capsys.readouterr().out and list(tmp_path.glob("_selftest/full/*/batch_001/PROMPT.txt"))

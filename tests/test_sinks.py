@@ -134,3 +134,24 @@ def test_incremental_runs_of_several_inputs_and_files_that_go(spark, tmp_path):
     assert {r.title for r in threads.collect()} == {"w", "y", "z"} == {r.sender for r in messages.collect()}
     facts = incremental.stats_of(spark, store).first()
     assert facts.files == 4 and facts.runs == 4 and facts.mb > 0 and facts.hit_rate == 1.0
+
+
+def test_template_and_config(spark, root, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    assert cli.load_config() == cli.CONFIG
+    (tmp_path / "home").mkdir()
+    (tmp_path / "home/.threadmill.json").write_text('{"self_name": "Ann", "other": 1}')
+    assert cli.load_config()["self_name"] == "Ann" and "other" not in cli.load_config()
+    (tmp_path / ".threadmill.json").write_text('{"output_formats": ["html"], "generate_stats": true}')
+    assert cli.load_config() == cli.CONFIG | {"formats": ["html"], "stats": True}
+    with pytest.raises(FileNotFoundError):
+        cli.load_config("none.json")
+    (tmp_path / "templates").mkdir()
+    (tmp_path / "templates/thread.html").write_text("<style>p{{}}</style><h1>{title}</h1><i>{participants}; {message_count}; {date_range}</i>{messages_html}<hr>{title}")
+    assert cli.main(["archive", "--input", str(root), "--out", str(tmp_path / "out"), "--quiet"]) == 0
+    pages = [p.read_text() for p in (tmp_path / "out/threads_html").glob("*.html")]
+    assert pages and all(p.startswith("<style>p{}</style><h1>") and '<div class="day">' in p and "<hr>" in p and "<script>" not in p for p in pages)
+    for bad in ("no field", "{messages_html}{messages_html}", "{messages_html}{odd}"):
+        with pytest.raises((ValueError, KeyError)):
+            sinks.Html(template=bad)

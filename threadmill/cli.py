@@ -10,12 +10,14 @@ import dataclasses
 import datetime as dt
 import functools
 import json
+import os
 import sys
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.images import slicer
+from threadmill.images import kernels, png, slicer
 from threadmill.operators import dedup, filters, stats
 from threadmill.session import saved, session
 from threadmill.sinks import threads as sinks
@@ -24,7 +26,37 @@ from threadmill.sources.export_reader import discover, list_files, read_archive
 from threadmill.streaming import incremental
 
 #: What a configuration file may set, and what it is otherwise.
-CONFIG = {"formats": ["md"], "self_name": None, "stats": False, "time_zone": "UTC", "verbose": False, "quiet": False}
+CONFIG = {"formats": ["md"], "self_name": None, "stats": False, "copy_media": False, "incremental": False, "time_zone": "UTC", "verbose": False, "quiet": False}
+#: Other names of settings.
+ALIASES = {"output_formats": "formats", "generate_stats": "stats", "copy_attachments": "copy_media"}
+#: Where a configuration and a page's template are looked for, in the working folder and then at home.
+CONFIG_FILES = (".threadmill.json", "~/.threadmill.json")
+TEMPLATE_FILES = ("templates/thread.html", "~/.config/threadmill/templates/thread.html")
+
+
+def first_file(paths) -> str | None:
+    """The text of the first of the files that is there."""
+    for p in map(os.path.expanduser, paths):
+        if os.path.isfile(p):
+            with open(p, encoding="utf-8") as f:
+                return f.read()
+    return None
+
+
+def load_config(path: str | None = None) -> dict:
+    """The settings of a file (JSON, or YAML where its reader is installed), or of the first one found, over the defaults."""
+    if path and not os.path.isfile(path):
+        raise FileNotFoundError(path)
+    found = first_file([path] if path else CONFIG_FILES)
+    if found is None:
+        return dict(CONFIG)
+    try:
+        given = json.loads(found)
+    except ValueError:
+        import yaml
+
+        given = yaml.safe_load(found) or {}
+    return CONFIG | {name: v for k, v in given.items() if (name := ALIASES.get(k, k)) in CONFIG}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,12 +75,14 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument(f"--{flag}", action="store_true")
     a.add_argument("--search")
     a.add_argument("--self-name")
-    a.add_argument("--config", help="a JSON file")
+    a.add_argument("--config", help="a JSON file (default: .threadmill.json here or at home)")
+    a.add_argument("--template", help="an HTML page for threads (default: templates/thread.html here or in ~/.config/threadmill)")
     a.add_argument("--save-config", help="write the defaults there and stop")
     a.add_argument("--store", help="folder of incremental runs (default: OUT/_store)")
     s = sub.add_parser("slice", help="cut tall images into slices")
-    s.add_argument("--input", required=True)
+    s.add_argument("--input")
     s.add_argument("--out", required=True)
+    s.add_argument("--selftest", action="store_true", help="slice made-up pictures below OUT/_selftest and check what comes out")
     s.add_argument("--recursive", action="store_true")
     s.add_argument("--preset", choices=sorted(slicer.PRESETS))
     for f in dataclasses.fields(slicer.SliceConfig):
@@ -69,10 +103,8 @@ def archive(args) -> int:
     if args.save_config:
         put(*args.save_config.rsplit("/", 1) if "/" in args.save_config else (".", args.save_config), json.dumps(CONFIG, indent=2))
         return 0
-    config = dict(CONFIG)
-    if args.config:
-        with open(args.config, encoding="utf-8") as f:
-            config |= {k: v for k, v in json.load(f).items() if k in CONFIG}
+    config = load_config(args.config)
+    template = first_file([args.template] if args.template else TEMPLATE_FILES)
     say = (lambda *x: None) if args.quiet or config["quiet"] else print
     store = args.store or (f"{args.out}/_store" if args.out else None)
     if args.clear_cache:
@@ -101,7 +133,7 @@ def archive(args) -> int:
         for r in (rows.limit(args.limit) if args.limit else rows).toLocalIterator():
             print("FILE" if r.standalone else "DIR ", r.thread_key)
         return 0
-    if args.incremental:
+    if args.incremental or config["incremental"]:
         for seq, path in enumerate(args.input):
             say(incremental.update(spark, path, store, path, seq))
         threads, messages = incremental.current(spark, store)
@@ -134,20 +166,49 @@ def archive(args) -> int:
     now = dt.datetime.now().isoformat(timespec="seconds")
     wanted = ["md"] + [f for f in ("csv", "json", "html") if getattr(args, f) or f in config["formats"]]
     for fmt in wanted:
-        done = sinks.write_threads(messages, threads, f"{args.out}/threads_{fmt}", fmt, args.self_name or config["self_name"]).agg(F.count("*").alias("n")).first()
+        done = sinks.write_threads(messages, threads, f"{args.out}/threads_{fmt}", fmt, args.self_name or config["self_name"], template).agg(F.count("*").alias("n")).first()
         say(f"{done.n} {fmt} files")
     sinks.write_index(messages, threads, args.out, now)
     if args.stats or config["stats"]:
         sinks.write_dashboard(messages, threads, args.out, now)
         stats.thread_statistics(messages, threads).write.mode("overwrite").parquet(f"{args.out}/statistics")
-    if args.copy_media:
+    if args.copy_media or config["copy_media"]:
         done = sinks.copy_media(messages, threads, {p: p for p in args.input}, f"{args.out}/media").where("copied").count()
         say(f"{done} media files copied")
     return 0
 
 
+def selftest(out: str) -> int:
+    """Slices light, dark, skew and repeating made-up pictures; 0 if all is as it should be."""
+    page = np.full((5500, 900, 3), 255, np.uint8)
+    rng = np.random.default_rng(7)
+    for y in range(60, 5400, 40):
+        page[y:y + 20, 90:int(rng.integers(500, 800))] = 40
+    pictures = {"light": page, "dark": 255 - page, "skew": kernels.rotate(page, 1.25), "repeat": np.concatenate([page[:1600], page[:1600], page[1600:4000]])}
+    for name, img in pictures.items():
+        put(f"{out}/_selftest", f"{name}.png", png.encode(img))
+    spark = session()
+    images = slicer.read_images(spark, f"{out}/_selftest")
+    full = dict(auto_crop=True, auto_chunk=True, auto_contrast=True)
+    ways = {
+        "full": slicer.SliceConfig(**full, denoise=True, deskew=True, batch_size=15), "binarize": slicer.SliceConfig(**full, binarize=True),
+        "jpg": slicer.SliceConfig(upscale=1.0, out_format="jpg"), "dedupe": slicer.SliceConfig(upscale=1.0, overlap=0, dedupe=True, dedupe_mad_threshold=1.5)}
+    bad = []
+    for way, cfg in ways.items():
+        slices = saved(slicer.slice_images(images, cfg))
+        slicer.write_slices(slices, f"{out}/_selftest/{way}", cfg).write.format("noop").mode("overwrite").save()
+        total = slicer.totals(slices).first()
+        print(f"{way}: {total.kept} slices kept, {total.skipped} skipped")
+        if total.failed or total.ok != len(pictures) or (total.skipped > 0) != (way == "dedupe"):
+            bad.append(way)
+    print(f"failed: {', '.join(bad)}" if bad else "all is well")
+    return 4 if bad else 0
+
+
 def slice_(args) -> int:
-    if not _exists(args.input):
+    if args.selftest:
+        return selftest(args.out)
+    if not args.input or not _exists(args.input):
         return 2
     given = {f.name: v for f in dataclasses.fields(slicer.SliceConfig) if (v := getattr(args, f.name)) is not None}
     cfg = dataclasses.replace(slicer.PRESETS[args.preset] if args.preset else slicer.SliceConfig(), **given)  # flags go before the preset's settings

@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.images import kernels, png
+from threadmill.images import jpeg, kernels, png
 from threadmill.sinks.files import put, write_files
 
 SUFFIXES = ("png", "jpg", "jpeg", "webp")
 
 
+# The settings' names and defaults.
 @dataclass(frozen=True)
 class SliceConfig:
     chunk_h: int = 1600
@@ -59,10 +60,11 @@ class SliceConfig:
     prompt_lang: str = "pl"
     output_dpi: int | None = None
     save_debug: bool = False
+    jpg_quality: int = 92
 
     def __post_init__(self):
-        if self.out_format != "png":
-            raise kernels.SliceError("only PNG can be written here: there is no JPEG encoder")
+        if self.out_format.lower() not in ("png", "jpg") or not 1 <= self.jpg_quality <= 100:
+            raise kernels.SliceError("slices are written as png or jpg, of a quality from 1 to 100")
 
 
 # What the presets set besides the defaults.
@@ -127,8 +129,9 @@ def slice_image(path: str, img: np.ndarray, cfg: SliceConfig) -> list[dict]:
         row = {"path": path, "image_key": key, "index": s["index"], "skipped": s["duplicate_of"] is not None, "duplicate_of_index": s["duplicate_of"], "dhash": s["dhash"],
                "width": s["image"].shape[1], "height": s["image"].shape[0], "meta": json.dumps(meta), "stage": "slice"}
         if not row["skipped"]:
-            data = png.encode(s["image"], cfg.output_dpi)
-            row |= {"file": f"{stem}_{s['index']:03d}.png", "content": data, "sha256": hashlib.sha256(data).hexdigest()}
+            as_jpg = cfg.out_format.lower() == "jpg"
+            data = jpeg.encode(s["image"], cfg.jpg_quality, cfg.output_dpi) if as_jpg else png.encode(s["image"], cfg.output_dpi)
+            row |= {"file": f"{stem}_{s['index']:03d}.{cfg.out_format.lower()}", "content": data, "sha256": hashlib.sha256(data).hexdigest()}
         rows.append(row)
     if cfg.batch_size > 0:
         for n, row in enumerate(sorted((r for r in rows if not r["skipped"]), key=lambda r: r["file"])):

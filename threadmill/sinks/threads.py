@@ -86,15 +86,32 @@ for(const n of found){const at=n.data.toLowerCase().indexOf(q);if(at>=0){const r
 
 
 class Html:
-    """Everything from the archive is escaped. ``self_name`` marks senders that contain it, case aside; without it none."""
+    """Everything from the archive is escaped. ``self_name`` marks senders that contain it, case aside; without it none.
+
+    template: a page of one's own, with the fields {title}, {participants}, {message_count}, {date_range} and, once,
+    {messages_html}; other braces are doubled.
+    """
 
     suffix = "html"
 
-    def __init__(self, self_name: str | None = None):
-        self.self_name, self.day = (self_name or "").lower(), None
+    def __init__(self, self_name: str | None = None, template: str | None = None):
+        self.self_name, self.day, self.parts = (self_name or "").lower(), None, None
+        if template is not None:
+            self.parts = template.split("{messages_html}")
+            if len(self.parts) != 2:
+                raise ValueError("a template has the field {messages_html} once")
+            for part in self.parts:  # unknown fields and single braces show before anything is written
+                part.format(title="", participants="", message_count=0, date_range="")
+
+    def filled(self, i, t):
+        dates = f"{t.first_iso[:10]} to {t.last_iso[:10]}"
+        return self.parts[i].format(title=html.escape(t.title), participants=html.escape(", ".join(t.participants)), message_count=t.n_messages, date_range=dates)
 
     def head(self, t):
         self.day = None
+        if self.parts:
+            yield self.filled(0, t)
+            return
         title = html.escape(t.title)
         yield (f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{title}</title><style>{STYLE}</style></head><body>\n<header><h1>{title}</h1>'
                f'<p>{html.escape(", ".join(t.participants) or NOBODY)} · {t.n_messages} messages</p><input id="q" type="search" placeholder="Search"></header>\n')
@@ -109,18 +126,20 @@ class Html:
         yield f'<div class="m{mine}"><div class="by">{html.escape(m.sender)} · {m.dt_iso[11:16]}</div><div>{m.content_html}</div>{notes}</div>\n'
 
     def tail(self, t):
-        yield f"<script>{SCRIPT}</script></body></html>\n"
+        yield self.filled(1, t) if self.parts else f"<script>{SCRIPT}</script></body></html>\n"
 
 
 FORMATS = {"md": Markdown, "csv": Csv, "json": Json, "html": Html}
 WRITTEN = "thread_key string, thread_id string, file string, n_messages long, n_bytes long"
 
 
-def write_threads(messages: DataFrame, threads: DataFrame, out: str, fmt: str, self_name: str | None = None) -> DataFrame:
-    """Writes ``out/<thread_id>.<fmt>`` for each thread. threads needs thread_id (see operators.dedup.thread_ids). Lazy: an action writes."""
+def write_threads(messages: DataFrame, threads: DataFrame, out: str, fmt: str, self_name: str | None = None, template: str | None = None) -> DataFrame:
+    """Writes ``out/<thread_id>.<fmt>`` for each thread. threads needs thread_id (see operators.dedup.thread_ids). Lazy: an action writes.
+    template: the text of an HTML page (see Html)."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
-    make = (lambda: Html(self_name)) if fmt == "html" else FORMATS[fmt]
+    make = (lambda: Html(self_name, template)) if fmt == "html" else FORMATS[fmt]
+    make()
     facts = messages.groupBy("thread_key").agg(F.count("*").alias("n_messages"), F.min(F.struct(*ORDER, "dt_iso"))["dt_iso"].alias("first_iso"), F.max(F.struct(*ORDER, "dt_iso"))["dt_iso"].alias("last_iso"))
     heads = threads.select("thread_key", "thread_id", "title", "participants").join(facts, "thread_key")
     rows = messages.select("thread_key", *ORDER, "dt_iso", "sender", "content", "reactions", "attachments", "attachment_details", html_lines("content").alias("content_html"))
