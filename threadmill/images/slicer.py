@@ -209,9 +209,10 @@ def write_slices(slices: DataFrame, out: str, cfg: SliceConfig) -> DataFrame:
             if cfg.manifest:
                 meta = json.loads(rows[0].meta)
                 whole = {
-                    "generated_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "source": {"path": rows[0].path, "size": meta.pop("source_size")}, "config": settings, "pipeline_meta": meta,
+                    "generated_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "source": {"file": rows[0].path.rsplit("/", 1)[-1], "path": rows[0].path, "size": meta.pop("source_size")}, "config": settings, "pipeline_meta": meta,
                     "slices": [{"index": int(r.index_), "skipped": bool(r.skipped), "dhash": r.dhash} | ({"duplicate_of_index": int(r.duplicate_of_index)} if r.skipped else {"file": r.file}) for r in rows],
-                    "saved_files": [{"file": r.file, "sha256": r.sha256, "batch": None if pd.isna(r.batch) else int(r.batch)} for r in kept]}
+                    "saved_files": [{"file": r.file, "sha256": r.sha256, "batch": None if pd.isna(r.batch) else int(r.batch)} for r in kept],
+                    "extra": {"slices_total": len(rows), "slices_kept": len(kept)}}
                 put(out, f"{key}/manifest.json", json.dumps(whole, ensure_ascii=False, indent=2).encode())
             if cfg.batch_size > 0 and cfg.make_prompt:
                 for b in sorted({int(r.batch) for r in kept}):

@@ -289,3 +289,105 @@ def slice_dedupe(spark, sf_dir):
         return pd.Series(out)
 
     return rows.select("image", F.explode(cut(F.transform("parts", lambda x: x["g"]))).alias("s")).select("image", "s.index", "s.skipped", F.coalesce("s.duplicate_of_index", F.lit(0)).alias("duplicate_of_index"))
+
+
+@query(f"""WITH m AS (SELECT *, epoch_ms(timestamp_ms) AS t FROM {EV}), s AS (SELECT thread_key, sender AS k, count(*) AS n FROM m GROUP BY ALL), w AS (SELECT thread_key, dayname(t) AS k, count(*) AS n FROM m GROUP BY ALL)
+    SELECT thread_key, count(*) AS n_messages, min(dt_iso)[:10] AS first_date, max(dt_iso)[:10] AS last_date, CAST(date_diff('day', min(t)::DATE, max(t)::DATE) + 1 AS INTEGER) AS days_span,
+    (SELECT string_agg(k || '=' || CAST(n AS VARCHAR), ', ' ORDER BY k) FROM s WHERE s.thread_key = m.thread_key) AS per_sender, (SELECT string_agg(k || '=' || CAST(n AS VARCHAR), ', ' ORDER BY k) FROM w WHERE w.thread_key = m.thread_key) AS per_weekday
+    FROM m GROUP BY thread_key""")
+def full_statistics(spark, sf_dir):
+    entries = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ", ")
+    rows = stats.thread_statistics(ev(spark, sf_dir))
+    return rows.select("thread_key", "n_messages", "first_date", "last_date", "days_span", entries("messages_per_sender").alias("per_sender"), entries("messages_per_weekday").alias("per_weekday"))
+
+
+@query(f"""SELECT CASE conv_id % 4 WHEN 0 THEN 'r/d' || CAST(conv_id AS VARCHAR) WHEN 1 THEN 'r/e' || CAST(conv_id AS VARCHAR) ELSE 'r/chat_' || CAST(conv_id AS VARCHAR) || '.json' END AS thread_key,
+    conv_id % 4 = 2 AS standalone, CAST(CASE WHEN conv_id % 4 = 0 THEN max(turn) // {PART} + 1 ELSE 1 END AS BIGINT) AS n_files FROM conversations WHERE conv_id % 4 < 3 GROUP BY conv_id""")
+def discovered_threads(spark, sf_dir):
+    """Of each four conversations: a folder of parts beside another file, one with an encrypted export's name, a file of its own, and a file that is no conversation."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.floor(F.max("turn") / PART) + 1).alias("parts"))
+    kind, number = F.col("conv_id") % 4, F.col("conv_id").cast("string")
+    names = (F.when(kind == 0, F.concat(F.transform(F.sequence(F.lit(1).cast("long"), "parts"), lambda i: F.format_string("d%s/message_%d.json", number, i)), F.array(F.format_string("d%s/notes.json", number))))
+             .when(kind == 1, F.array(F.format_string("e%s/x_messages_1.json", number))).when(kind == 2, F.array(F.format_string("chat_%s.json", number))).otherwise(F.array(F.format_string("other_%s.json", number))))
+    path = F.concat(F.lit("r/"), F.col("file"))
+    raw = F.when(kind == 3, F.lit('{"x": 1}')).otherwise('{"participants": [], "messages": []}')
+    files = rows.withColumn("file", F.explode(names)).select(
+        path.alias("path"), F.regexp_replace(path, r"/[^/]*\z", "").alias("dir"), F.regexp_extract(path, r"([^/]*)\z", 1).alias("name"), raw.alias("raw"), F.lit("r").alias("source_id"), F.lit(0).alias("source_seq"), (kind >= 2).alias("top"))
+    return discover(files).groupBy("thread_key", "standalone").agg(F.count("*").alias("n_files"))
+
+
+_JSON = "'\"' || replace(replace(replace(content, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"'"
+_NL = "chr(10)"
+
+
+@query(_WHOLE + f"""SELECT 'c' || thread_key || '.json' AS file, '{{' || {_NL} || '  "thread_id": "c' || thread_key || '",' || {_NL} || '  "title": "Talk ' || thread_key || '",' || {_NL} || '  "participants": [' || {_NL}
+    || array_to_string(list_transform(list_sort(list(DISTINCT sender)), lambda s: '    "' || s || '"'), ',' || {_NL}) || {_NL} || '  ],' || {_NL} || '  "message_count": ' || CAST(count(*) AS VARCHAR) || ',' || {_NL}
+    || '  "date_range": {{' || {_NL} || '    "first": "' || min({_ISO}) || '",' || {_NL} || '    "last": "' || max({_ISO}) || '"' || {_NL} || '  }},' || {_NL} || '  "messages": [' || {_NL}
+    || string_agg('    {{' || {_NL} || '      "timestamp_ms": ' || CAST(msg_idx * {MINUTE_MS} AS VARCHAR) || ',' || {_NL} || '      "dt_iso": "' || {_ISO} || '",' || {_NL} || '      "sender": "' || sender || '",' || {_NL} || '      "content": ' || {_JSON} || ',' || {_NL}
+        || '      "reactions": "",' || {_NL} || '      "attachments": "",' || {_NL} || '      "attachment_details": []' || {_NL} || '    }}', ',' || {_NL} ORDER BY msg_idx) || {_NL} || '  ]' || {_NL} || '}}' || {_NL} AS body FROM {CONV} GROUP BY thread_key)""")
+def json_files(spark, sf_dir):
+    return _written(spark, sf_dir, "json")
+
+
+_QUOTE = lambda s: s.replace("'", "''")
+_ESCAPED = "replace(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>')"
+
+
+@query(_WHOLE + f"""SELECT 'c' || thread_key || '.html' AS file, '<!DOCTYPE html>' || {_NL} || '<html><head><meta charset="utf-8"><title>Talk ' || thread_key || '</title><style>{_QUOTE(sinks.STYLE)}</style></head><body>' || {_NL}
+    || '<header><h1>Talk ' || thread_key || '</h1><p>' || array_to_string(list_sort(list(DISTINCT sender)), ', ') || ' · ' || CAST(count(*) AS VARCHAR) || ' messages</p><input id="q" type="search" placeholder="Search"></header>' || {_NL}
+    || '<div class="day">1970-01-01</div>' || {_NL} || string_agg('<div class="m"><div class="by">' || sender || ' · ' || ({_ISO})[12:16] || '</div><div>' || {_ESCAPED} || '</div></div>' || {_NL}, '' ORDER BY msg_idx)
+    || '<script>{_QUOTE(sinks.SCRIPT)}</script></body></html>' || {_NL} AS body FROM {CONV} GROUP BY thread_key)""")
+def html_files(spark, sf_dir):
+    return _written(spark, sf_dir, "html")
+
+
+def _on_pictures(spark, sf_dir, f):
+    """f of each picture, as pixels in rows."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(pixels: pd.Series) -> pd.Series:
+        return pd.Series([f(_picture(g)).ravel().astype("int32") for g in pixels], dtype=object)
+
+    return _pictures(spark, sf_dir).select("vec_id", run("g").alias("pixels"))
+
+
+_CLIP = "CAST(least(greatest(round_even({}, 0), 0), 255) AS INTEGER)"
+
+
+@query(f"""SELECT vec_id, list_transform(b, lambda v: {_CLIP.format("m + (v - m) * 1.25")}) AS pixels FROM (
+    SELECT vec_id, b, round_even(list_sum(b) / 64.0, 0) AS m FROM (SELECT vec_id, list_transform(g, lambda v: {_CLIP.format("v * CAST(1.05 AS DOUBLE)")}) AS b FROM {_PIXELS}))""")
+def image_levels(spark, sf_dir):
+    from threadmill.images import kernels
+
+    return _on_pictures(spark, sf_dir, lambda img: kernels.contrast(kernels.brightness(img, 1.05), 1.25))
+
+
+@query(f"""SELECT vec_id, list_transform(range(0, 64), lambda k: list_sort(list_transform(range(0, 9), lambda j: g[8 * least(greatest(k // 8 + j // 3 - 1, 0), 7) + least(greatest(k % 8 + j % 3 - 1, 0), 7) + 1]))[5]) AS pixels FROM {_PIXELS}""")
+def image_median(spark, sf_dir):
+    from threadmill.images import kernels
+
+    return _on_pictures(spark, sf_dir, kernels.median3)
+
+
+@query(f"""SELECT vec_id, list_transform(list_filter(range(0, 64), lambda k: k // 8 >= 2 AND k % 8 BETWEEN 1 AND 4), lambda k: g[k + 1]) AS pixels FROM {_PIXELS}""")
+def image_margin_crop(spark, sf_dir):
+    from threadmill.images import kernels
+
+    return _on_pictures(spark, sf_dir, lambda img: kernels.margin_crop(img, left=1, top=2, right=3)[0])
+
+
+@query(f"SELECT vec_id, list_transform(g, lambda v: CAST(v AS INTEGER)) AS pixels FROM {_PIXELS}")
+def image_png_read_back(spark, sf_dir):
+    from threadmill.images import png
+
+    return _on_pictures(spark, sf_dir, lambda img: png.decode(png.encode(img)))
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN n_chars % 7 = 0 THEN 1600 ELSE greatest(1000, least(2200, 38 * (n_chars % 90))) END AS INTEGER) AS height FROM documents""")
+def image_chunk_height(spark, sf_dir):
+    @F.pandas_udf(T.IntegerType())
+    def height(lines: pd.Series) -> pd.Series:
+        from threadmill.images import kernels
+
+        return pd.Series([kernels.chunk_height(None if n % 7 == 0 else int(n % 90), 38, 1000, 2200, 1600) for n in lines])
+
+    return table(spark, sf_dir, "documents").select("doc_id", height("n_chars").alias("height"))
