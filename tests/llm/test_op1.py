@@ -58,3 +58,22 @@ def test_verdict_and_clashing_names(spark):
     rows = op.clean(df).collect()
     assert [(r.doc_id, r.kept) for r in rows] == [(1, True), (2, False), (1, True)]
     assert rows[0].cleaned == good and rows[1].cleaned == "short end."
+
+
+@pytest.mark.parametrize("line,fails", [
+    ("Alle Rechte vorbehalten.", True), ("Wir verwenden Cookies, um die Seite zu verbessern.", True), ("Tous droits réservés", True), ("Lire la suite...", True), ("POLÍTICA DE PRIVACIDAD", True),
+    ("Todos los derechos reservados", True), ("Wir lesen viele gute Texte.", False), ("Une suite de mots simples.", False), ("Bitte nicht vorbehaltlos.", False), ("Read more " + "x" * 400, False), ("They blogin to", False),
+])
+def test_phrases_of_four_languages(spark, line, fails):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    assert spark.createDataFrame([(line,)], "x string").select(op.line_fails(F.col("x")).alias("f")).first().f is fails
+    found = duckdb.execute("SELECT regexp_matches(?, ?)", [line, op.BOILERPLATE]).fetchone()[0]
+    assert (found and len(line) < op.BOILERPLATE_CHARS) is fails
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a text", "x", 2, 3)], "doc_id long, text string, _text string, _words int, _full int")
+    r = op.clean(df).first()
+    assert (r._text, r._words, r._full, r.n_words) == ("x", 2, 3, 2)

@@ -7,7 +7,8 @@ Rules of a line (a blank line always stays):
   for every second word or more, or it has over LONG_LINE words and no sentence punctuation at all;
 * navigation: NAV_BARS or more bars or arrows that separate items;
 * boilerplate: a cookie, script, rights, newsletter or login phrase, in a line of at most BOILERPLATE_WORDS words and
-  fewer than BOILERPLATE_CHARS characters: longer lines are prose that mentions such a phrase. The phrases are English.
+  fewer than BOILERPLATE_CHARS characters: longer lines are prose that mentions such a phrase. The phrases are English, German, French
+  and Spanish.
 
 Equal five-word windows are found by 64-bit hashes within one text; there the chance of a false pair is below 1e-10.
 
@@ -28,9 +29,13 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL_SHARE, MOST_LOST = 8, 50
 LONG_LINE, NAV_BARS, BOILERPLATE_WORDS, BOILERPLATE_CHARS = 60, 3, 30, 400
 WINDOW = 5
+#: Phrases in English, German, French and Spanish, at the beginning of a word. Both Java and RE2 read them alike.
 BOILERPLATE = (
-    "(?i)(accept (all )?cookies|use[sd]? cookies|enable javascript|javascript is (disabled|required)|all rights reserved|terms of (use|service)"
-    "|privacy policy|subscribe to our|sign up for|log ?in to|click here|read more|lorem ipsum|share (this|on) |back to top)"
+    "(?i)(^|[^a-z])(accept (all )?cookies|use[sd]? cookies|enable javascript|javascript is (disabled|required)|all rights reserved|terms of (use|service)"
+    "|privacy policy|subscribe to our|sign up for|log ?in to|click here|read more|lorem ipsum|share (this|on) |back to top"
+    "|(alle )?cookies (akzeptieren|zulassen)|verwende[nt] cookies|javascript aktivieren|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl|newsletter abonnieren|hier klicken|mehr lesen|weiterlesen|nach oben"
+    "|accepter (tous )?les cookies|utilise(ns|z)? des cookies|activer javascript|tous droits r.serv|conditions d.utilisation|politique de confidentialit|abonnez-vous|cliquez ici|lire la suite|haut de page"
+    "|aceptar (todas las )?cookies|utiliza(mos)? cookies|activar javascript|todos los derechos reservados|condiciones de uso|pol.tica de privacidad|suscr.bete|haz clic aqu|leer m.s|volver arriba)"
 )
 
 
