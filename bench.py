@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from threadmill.images import slicer  # noqa: E402
+from threadmill.images import png, slicer  # noqa: E402
 from threadmill.plans.archive_queries import QUERIES  # noqa: E402
 
 RUNS = 3
@@ -51,6 +52,11 @@ def main() -> None:
     plain = slicer.SliceConfig(upscale=1.0)
     for name, cfg in {"slice_plain": plain, "slice_deskew": slicer.SliceConfig(upscale=1.0, deskew=True)}.items() | {f"slice_{k}": v for k, v in slicer.PRESETS.items()}.items():
         took[name] = seconds(lambda cfg=cfg: slicer.slice_image("/page.png", img, cfg))
+    with tempfile.TemporaryDirectory() as at:  # from files to slices in Spark: decoding, the way to Python and back, encoding
+        for k in range(int(cpus)):
+            with open(f"{at}/{k}.png", "wb") as f:
+                f.write(png.encode(img, level=1))
+        took["slice_files_fast"] = seconds(lambda: slicer.slice_images(slicer.read_images(spark, at), slicer.PRESETS["fast"]).write.format("noop").mode("overwrite").save())
     print(json.dumps({"metric": "sum of median seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus)}))
 
 

@@ -31,6 +31,11 @@ def safe_str(x) -> Column:
     return F.coalesce(col(x).cast("string"), F.lit(""))
 
 
+def let(expr, body) -> Column:
+    """body(x) for x = expr, which is evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(expr), body), 1)
+
+
 def fix_mojibake(x, mode: str = "compat") -> Column:
     """UTF-8 text that was read as Latin-1 repaired as a whole, or unchanged if that can't be.
 
@@ -38,12 +43,14 @@ def fix_mojibake(x, mode: str = "compat") -> Column:
     """
     if mode not in ("compat", "extended"):
         raise ValueError(f"unknown mode {mode!r}")
-    t = col(x)
     marks = MOJIBAKE_MARKS if mode == "compat" else MOJIBAKE_MARKS_EXTENDED
-    # encode() would raise at characters beyond Latin-1, so they are replaced in the branch that isn't taken too
-    raw = F.encode(F.regexp_replace(t, BEYOND_LATIN1, "?"), "ISO-8859-1")
-    repaired = F.try_validate_utf8(raw.cast("string"))
-    return F.when(t.rlike(marks) & ~t.rlike(BEYOND_LATIN1), F.coalesce(repaired, t)).otherwise(t)
+
+    def fixed(t):
+        # encode() would raise at characters beyond Latin-1, so they are replaced in the branch that isn't taken too
+        raw = F.encode(F.regexp_replace(t, BEYOND_LATIN1, "?"), "ISO-8859-1")
+        return F.when(t.rlike(marks) & ~t.rlike(BEYOND_LATIN1), F.coalesce(F.try_validate_utf8(raw.cast("string")), t)).otherwise(t)
+
+    return let(col(x), fixed)
 
 
 @F.pandas_udf(T.StringType())
@@ -57,8 +64,7 @@ def unescape_html(x) -> Column:
     A UDF runs on every row of its operator whatever the condition around it, so rows without ``&`` hand it a null.
     """
     t = col(x)
-    has = F.contains(t, F.lit("&"))
-    return F.when(has, _unescape(F.when(has, t))).otherwise(t)
+    return F.coalesce(_unescape(let(t, lambda v: F.when(F.contains(v, F.lit("&")), v))), t)
 
 
 def strip_controls(x) -> Column:
