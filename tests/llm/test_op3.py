@@ -93,7 +93,7 @@ def test_query_against_loops(spark):
 
 def test_columns_of_clashing_names_stay(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'h' as _host", "1 as _path", "doc_id as kept", "7 as evidence")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'h' as _host", "1 as _path", "doc_id as kept", "7 as evidence", "null as nothing")
     kept = op.stage(spark, docs, sf)
     assert kept.columns == docs.columns
     rows = kept.collect()

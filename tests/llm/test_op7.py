@@ -56,3 +56,18 @@ def test_edges(spark):
     check(rows, got)
     assert sorted(r.size for r in got) == [16, 16, 16, 18]
     assert op.of(df.limit(0)).count() == 0
+
+
+def test_equal_ranks_null_ids_and_equal_rows_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).selectExpr("id as doc_id", "'t' as text", "concat('s', id) as source").unionAll(spark.range(10_000).selectExpr("cast(null as bigint)", "'same'", "'hot'"))
+    df = rows.withColumns({"_row": F.lit(1), "_source": F.lit(2), "_digest": F.lit(3)})
+    got = op.of(df).collect()
+    check(list(range(30_000)), got)
+    each = Counter(r.shard for r in got if r.source == "hot")
+    # the one-row sources all have rank 1/2, so they stand between the halves of the hot one
+    assert sum(each.values()) == 10_000 and each[0] == each[op.SHARDS - 1] == 750
+    kept = op.interleave(df.select("doc_id", "source", "_row", "_source", "_digest"))
+    assert kept.columns == ["doc_id", "source", "_row", "_source", "_digest", "shard", "slot"]
+    assert kept.where("_row = 1 and _source = 2 and _digest = 3").count() == 30_000

@@ -62,3 +62,13 @@ def test_headers_first():
         assert [p for *_, p in op.records(io.BytesIO(data), len(data), payload=False)] == [None] * 3
     with pytest.raises(ValueError):
         list(op.records(io.BytesIO(raw[:100]), 100))
+
+
+def test_two_writers_to_one_path(tmp_path):
+    record = {"record_type": "response", "record_id": "urn:page:1", "target_uri": "u", "refers_to": None, "payload_digest": "d", "full_length": 1, "payload": b"x"}
+    a, b = (op.WarcWriter({"path": str(tmp_path)}, False) for _ in range(2))
+    wrote = [w.write(iter([record])) for w in (a, b)]
+    a.commit([wrote[0]])
+    b.commit([wrote[1]])
+    op.WarcWriter({"path": str(tmp_path)}, False).abort([])
+    assert len(op.WarcReader({"path": str(tmp_path)}).partitions()) == 2 and not list(tmp_path.glob("_parts*"))
