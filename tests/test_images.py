@@ -163,7 +163,11 @@ def test_huffman_lengths():
 def test_slices_as_jpg_and_selftest(spark, tmp_path, capsys):
     from threadmill import cli
 
-    rows = slicer.slice_image("/a/b.png", page(2000, 300), slicer.SliceConfig(upscale=1.0, out_format="jpg", jpg_quality=80))
+    rows = slicer.slice_image("/a/b.png", page(2000, 300), slicer.SliceConfig(upscale=1.0, out_format="jpeg", jpg_quality=80))
     assert [r["file"] for r in rows] == ["b_001.jpg", "b_002.jpg"] and all(r["content"][:3] == b"\xff\xd8\xff" for r in rows)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/p.png").write_bytes(png.encode(page(2000, 300)))
+    assert cli.main(["slice", "--input", str(tmp_path / "in"), "--out", str(tmp_path / "jpg"), "--out-format", "jpg", "--jpg-quality", "70", "--upscale", "1"]) == 0
+    assert len(list(tmp_path.glob("jpg/*/p_00?.jpg"))) == 2
     assert cli.main(["slice", "--out", str(tmp_path), "--selftest"]) == 0
     assert "all is well" in capsys.readouterr().out and list(tmp_path.glob("_selftest/full/*/batch_001/PROMPT.txt"))

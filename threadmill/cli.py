@@ -192,7 +192,7 @@ def selftest(out: str) -> int:
     full = dict(auto_crop=True, auto_chunk=True, auto_contrast=True)
     ways = {
         "full": slicer.SliceConfig(**full, denoise=True, deskew=True, batch_size=15), "binarize": slicer.SliceConfig(**full, binarize=True),
-        "jpg": slicer.SliceConfig(upscale=1.0, out_format="jpg"), "dedupe": slicer.SliceConfig(upscale=1.0, overlap=0, dedupe=True, dedupe_mad_threshold=1.5)}
+        "jpeg": slicer.SliceConfig(upscale=1.0, out_format="jpeg"), "dedupe": slicer.SliceConfig(upscale=1.0, overlap=0, dedupe=True, dedupe_mad_threshold=1.5)}
     bad = []
     for way, cfg in ways.items():
         slices = saved(slicer.slice_images(images, cfg))
@@ -211,6 +211,8 @@ def slice_(args) -> int:
     if not args.input or not _exists(args.input):
         return 2
     given = {f.name: v for f in dataclasses.fields(slicer.SliceConfig) if (v := getattr(args, f.name)) is not None}
+    if given.get("out_format") == "jpg":  # the files' ending is taken for the format's name
+        given["out_format"] = "jpeg"
     cfg = dataclasses.replace(slicer.PRESETS[args.preset] if args.preset else slicer.SliceConfig(), **given)  # flags go before the preset's settings
     spark = session()
     images = slicer.read_images(spark, args.input, args.recursive)

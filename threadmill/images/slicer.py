@@ -21,6 +21,8 @@ from threadmill.images import jpeg, kernels, png
 from threadmill.sinks.files import put, write_files
 
 SUFFIXES = ("png", "jpg", "jpeg", "webp")
+#: Formats that can be written, and what their files' names end in.
+ENDINGS = {"png": "png", "jpeg": "jpg"}
 
 
 # The settings' names and defaults.
@@ -63,8 +65,8 @@ class SliceConfig:
     jpg_quality: int = 92
 
     def __post_init__(self):
-        if self.out_format.lower() not in ("png", "jpg") or not 1 <= self.jpg_quality <= 100:
-            raise kernels.SliceError("slices are written as png or jpg, of a quality from 1 to 100")
+        if self.out_format not in ENDINGS or not 1 <= self.jpg_quality <= 100:
+            raise kernels.SliceError("slices are written as png or jpeg, of a quality from 1 to 100")
 
 
 # What the presets set besides the defaults.
@@ -129,9 +131,8 @@ def slice_image(path: str, img: np.ndarray, cfg: SliceConfig) -> list[dict]:
         row = {"path": path, "image_key": key, "index": s["index"], "skipped": s["duplicate_of"] is not None, "duplicate_of_index": s["duplicate_of"], "dhash": s["dhash"],
                "width": s["image"].shape[1], "height": s["image"].shape[0], "meta": json.dumps(meta), "stage": "slice"}
         if not row["skipped"]:
-            as_jpg = cfg.out_format.lower() == "jpg"
-            data = jpeg.encode(s["image"], cfg.jpg_quality, cfg.output_dpi) if as_jpg else png.encode(s["image"], cfg.output_dpi)
-            row |= {"file": f"{stem}_{s['index']:03d}.{cfg.out_format.lower()}", "content": data, "sha256": hashlib.sha256(data).hexdigest()}
+            data = jpeg.encode(s["image"], cfg.jpg_quality, cfg.output_dpi) if cfg.out_format == "jpeg" else png.encode(s["image"], cfg.output_dpi)
+            row |= {"file": f"{stem}_{s['index']:03d}.{ENDINGS[cfg.out_format]}", "content": data, "sha256": hashlib.sha256(data).hexdigest()}
         rows.append(row)
     if cfg.batch_size > 0:
         for n, row in enumerate(sorted((r for r in rows if not r["skipped"]), key=lambda r: r["file"])):
