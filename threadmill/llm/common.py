@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go what earlier steps shuffled and nothing refers to any more: Spark removes that once the driver's garbage is collected, and not before."""
+    gc.collect()  # what Python still holds in cycles, the driver holds too
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared one, which goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

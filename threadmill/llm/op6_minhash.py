@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import free_name, saved, small_batches, table
+from threadmill.llm.common import free_name, released, saved, small_batches, table
 
 NAME = "op6_minhash"
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -198,12 +198,18 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlaps(_unpack(x), _unpack(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _step(df):
+    """df, saved. What the steps before it shuffled goes first, else the disk holds the shuffles of all steps at once."""
+    released(df.sparkSession)
+    return saved(df)
+
+
 def components(edges):
     """(node, root) for the nodes of edges (a, b): root is the least node that edges connect; roots have no row.
 
     Alternating large and small stars; each round is a few aggregations and joins, and ends in a checkpoint.
     """
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = _step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     now = mark(edges)
     while now[0]:
@@ -213,7 +219,7 @@ def components(edges):
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges, was = saved(small), now
+        edges, was = _step(small), now
         now = mark(edges)
         if tuple(now) == tuple(was):
             break
@@ -227,7 +233,7 @@ def _verified(pairs, nodes, bags):
     near = (pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
             .where(_alike("sa", "sb")).select("a", "b"))
     full = near.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("gb")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("ga")), "a")
-    return saved(full.where(_linked("ga", "gb")).select("a", "b"))
+    return _step(full.where(_linked("ga", "gb")).select("a", "b"))
 
 
 def _near(rows):
@@ -337,7 +343,7 @@ def classes(docs, id_col="doc_id", text_col="text"):
     """A row for each of docs: its id and class_id, the least id of its class."""
     rows = rooted(docs, id_col, text_col)
     # a saved table on either side of a join, and not an aggregation above the exchange, lets Spark split a hot key's rows
-    least = saved(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    least = _step(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return rows.join(least, "root").select("doc_id", "class_id", "class_size")
 
 
@@ -350,26 +356,26 @@ def rooted(docs, id_col="doc_id", text_col="text"):
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), node_of(F.col(text_col)).alias("node"))
-    signed = saved(docs.withColumn("s", _sign("text")).select("doc_id", "node", "s.bands", "s.sig"))
-    nodes = saved(signed.where(F.size("bands") > 0).select("node", "bands", "sig").dropDuplicates(["node"]))
+    signed = _step(docs.withColumn("s", _sign("text")).select("doc_id", "node", "s.bands", "s.sig"))
+    nodes = _step(signed.where(F.size("bands") > 0).select("node", "bands", "sig").dropDuplicates(["node"]))
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    members = saved(rows.join(saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key"))
+    members = _step(rows.join(_step(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")), "key"))
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
-    bags = saved(docs.select("node", "text").dropDuplicates(["node"]).join(meets, "node", "left_semi").select("node", _pack("text").alias("bag")))
+    bags = _step(docs.select("node", "text").dropDuplicates(["node"]).join(meets, "node", "left_semi").select("node", _pack("text").alias("bag")))
 
-    leads = saved(members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("lead")))
+    leads = _step(members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("lead")))
     links = _verified(members.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), nodes, bags)
     roots = components(links)
     rooted = members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = saved(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1"))
+    mixed = _step(rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1"))
     rest = _dealt(rooted.join(mixed.select("key"), "key", "left_semi"), SCAN).join(nodes.select("node", "sig"), "node")
-    near = saved(rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_scan, "key long, node binary").distinct())
-    near = near.join(saved(near.groupBy("key").agg(F.count("*").alias("n"))), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = _step(rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_scan, "key long, node binary").distinct())
+    near = near.join(_step(near.groupBy("key").agg(F.count("*").alias("n"))), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = _dealt(near, BLOCK).join(nodes, "node").join(bags, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     more = rest.mapInPandas(_blocks, "a binary, b binary")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    return saved(signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
+    return _step(signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
 
 
 def representatives(docs, id_col="doc_id", text_col="text"):
