@@ -67,3 +67,14 @@ def test_exports_sinks_and_pictures_against_oracle(spark, db, name):
     a, b = canonical(got.toPandas()), canonical(want.df())
     assert len(a) == len(b) > 0
     assert a == b
+
+
+def test_threads_at_the_fractions_of_a_bound(spark, tmp_path):
+    times = ["2024-01-09 23:59:59.999", "2024-01-10", "2024-01-10 06:00:00", "2024-01-10 06:00:00.000900", "2024-01-10 06:00:00.001", "2024-01-10 06:00:00.999", "2024-01-10 06:00:01", "2024-01-10 03:00"]
+    users = pd.array([0, 1, 2, 3, 4, 5, 6, None], dtype="Int64")
+    pd.DataFrame({"event_id": range(8), "ts": pd.to_datetime(pd.Series(times), format="ISO8601").astype("datetime64[us]"), "user_id": users, "event_type": "view", "value": 0.0, "props": "{}"}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [r.thread_key for r in export_queries.QUERIES["empty_threads_dropped"](spark, str(tmp_path)).collect()]
+    want = [r[0] for r in con.sql(export_queries.ORACLES["empty_threads_dropped"]).fetchall()]
+    assert sorted(got, key=str) == sorted(want, key=str) == ["1", "2", "3", None]

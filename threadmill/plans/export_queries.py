@@ -156,8 +156,10 @@ def title_case(spark, sf_dir):
 @query(f"""SELECT DISTINCT thread_key FROM (SELECT thread_key, epoch_ms(timestamp_ms) AS t FROM {EV}) WHERE t BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-10 06:00:00'""")
 def empty_threads_dropped(spark, sf_dir):
     messages = ev(spark, sf_dir)
-    kept = filters.in_date_range(messages, "2024-01-10", "2024-01-11").where("dt_iso <= '2024-01-10T06:00:00'")
-    return messages.select("thread_key").distinct().join(kept.select("thread_key").distinct(), "thread_key", "left_semi")
+    # by ts: dt_iso is floored to seconds
+    kept = filters.in_date_range(messages, "2024-01-10", "2024-01-11").where(F.col("ts") <= F.lit("2024-01-10 06:00:00").cast("timestamp"))
+    threads, filled = messages.select("thread_key").distinct().alias("t"), kept.select("thread_key").distinct().alias("k")
+    return threads.join(filled, F.expr("t.thread_key <=> k.thread_key"), "left_semi")  # messages without a thread are one, as in SQL
 
 
 @query(f"""WITH s AS (SELECT thread_key, sender, count(*) AS n, min((timestamp_ms, msg_idx)) AS f FROM {EV} GROUP BY ALL),
