@@ -3,11 +3,13 @@
 import html
 import random
 import re
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadmill.functions import attachments, hashing, text
+from threadmill.functions.references import CHUNK
 
 ALPHABET = list("ab &;<>'\"\t\n\r\x00\x07\x0b\x0c\x1c\x7f\x85\xa0ÄÅÃéł😀/\\:*?|_") + ["&amp;", "&#65;", "\r\n", "\n\n\n", "Ã©", "Ä‡", "  ", "x/y.jpg?z"]
 
@@ -94,3 +96,30 @@ def test_no_reactions(spark):
     df = spark.createDataFrame([(None,), ([],)], "r array<struct<reaction:string,actor:string>>")
     assert [r.x for r in df.select(attachments.reaction_summary("r").alias("x")).collect()] == ["", ""]
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_references_against_python(spark):
+    rng = random.Random(11)
+    bits = ["&", "#", "x", "X", ";", "a", "lt", "amp", "not", "in", "3", "0", "9", "F", " ", "\n", "<", "é", "😀", "28", "&#", "&#x", "&lt", "&gt;", "copy", "=", "|", "\\", "'", "$1"]
+    mixed = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
+    names = [f for k in html5 for f in ("&" + k, f"a &{k.rstrip(';')}x &{k}", f"&{k[:-2]};")]
+    numbers = [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFEFF, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 9999999, 10**8, 1 << 32, 1 << 64]
+    numbers = [f for n in numbers for f in (f"&#{n};b", f"&#{n}b", f"&#x{n:x};", f"&#X{n:X}g", f"&#00000000{n};", f"&#x00000000{n:x}")]
+    odd = ["&#" + "9" * 4000 + ";", "&#;", "&#x;", "&amp;amp;", "&notit;", "&" + "a" * 40 + ";", "&lt=3c|gt;", "&amp\n;", "&#٣;", "&#65279;"]
+    # long texts are cut: references of five kinds and lengths around the cuts
+    long = ["z" * k + "&lt;&#38;lt;&amp&notin;&" * (CHUNK // 8) for k in range(24)] + ["".join(rng.choice(bits) for _ in range(CHUNK)), "x" * 3 * CHUNK, "😀" * CHUNK + "&gt;", "&" * (CHUNK + 1), "\n" * (CHUNK - 1) + "&lt;" + "\n" * CHUNK]
+    texts = names + numbers + odd + mixed + long
+    for s, got in zip(texts, column(spark, texts, text.unescape_html), strict=True):
+        assert got == html.unescape(s), repr(s[:100])
+    # Python raises an error at more than 4300 digits
+    assert column(spark, ["&#" + "1" * 5000 + ";x", None], text.unescape_html) == ["\ufffdx", None]
+
+
+def test_texts_stay_in_the_jvm(spark):
+    """Python holds a batch of rows at a time, however long they are."""
+    text.register(spark)
+    df = spark.createDataFrame([("a &lt; b",)], "s string")
+    for c in (text.unescape_html("s"), text.clean_text("s"), F.call_function("tm_unescape", F.col("s"))):
+        plan = df.select(c.alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan
+        assert df.select(c.alias("x")).first().x == "a < b"

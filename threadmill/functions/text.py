@@ -1,13 +1,11 @@
-"""Text functions as column expressions. Only HTML unescaping leaves the JVM, and only for texts with an ampersand."""
+"""Text functions as column expressions; none leaves the JVM."""
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from threadmill.functions.references import unescape_sql
 
 # Which characters mark a double-encoded text, and the replacement rules of a slug.
 MOJIBAKE_MARKS = "[ÄÅÃ]"
@@ -53,18 +51,9 @@ def fix_mojibake(x, mode: str = "compat") -> Column:
     return let(col(x), fixed)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
-
-
 def unescape_html(x) -> Column:
-    """Named and numeric HTML references resolved; Python sees only the texts that may have one.
-
-    A UDF runs on every row of its operator whatever the condition around it, so rows without ``&`` hand it a null.
-    """
-    t = col(x)
-    return F.coalesce(_unescape(let(t, lambda v: F.when(F.contains(v, F.lit("&")), v))), t)
+    """Named and numeric HTML references resolved, inside the JVM."""
+    return F.element_at(F.call_function("transform", F.array(col(x)), F.expr(f"x -> {unescape_sql()}")), 1)
 
 
 def strip_controls(x) -> Column:
@@ -81,7 +70,7 @@ def clean_whitespace(x) -> Column:
 
 
 def clean_text(x, mode: str = "compat", entities: bool = True) -> Column:
-    """The whole cleaning chain, in its fixed order. entities=False keeps the expression inside the JVM."""
+    """The whole cleaning chain, in its fixed order. entities=False leaves HTML references as they are."""
     t = fix_mojibake(safe_str(x), mode)
     t = unescape_html(t) if entities else t
     return clean_whitespace(strip_controls(t))
@@ -137,11 +126,11 @@ SQL_FUNCTIONS = {
     "tm_words": ("INT", r"""size(filter(split(coalesce(x, ''), r'(?U)[\s\x1c-\x1f]+'), w -> w <> ''))"""),
     "tm_preview": ("STRING", r"""translate(concat(substring(coalesce(x, ''), 1, 100), CASE WHEN length(coalesce(x, '')) > 100 THEN '...' ELSE '' END), '\n', ' ')"""),
     "tm_filename": ("STRING", "substring_index(substring_index(coalesce(x, ''), '/', -1), '?', 1)"),
+    "tm_unescape": ("STRING", unescape_sql()),
 }
 
 
 def register(spark) -> None:
-    """Makes text functions callable from the session's SQL: those of SQL_FUNCTIONS, and tm_unescape."""
+    """Makes the text functions of SQL_FUNCTIONS callable from the session's SQL."""
     for name, (kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
-    spark.udf.register("tm_unescape", _unescape)
